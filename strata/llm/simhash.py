@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.arrow import BATCH_ROWS
 from strata.operators.graph import connected_components
 from strata.session import cut
 
@@ -60,8 +61,9 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text",
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values.view(np.int64))], names=[*keep, "fp"])
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
     return source.mapInArrow(run, f"{fields}, fp bigint")
 
 
@@ -170,25 +172,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The row with the smallest id stays (null only if all are null); of several
     rows of the component that share it, one with the smallest fingerprint. All
-    columns are returned; extra ones may have any name but ``_keep_id``,
-    ``_keep_fp`` and ``fp``.
+    columns are returned, extra ones whatever their names.
     """
     groups = cut(simhash_groups(docs, id_col, text_col, **options))
-    rows_per_id = groups.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"))
+    rows_per_id = groups.groupBy(F.col("id").alias("own_id")).agg(F.count("*").alias("rows"))
     keepers = (
         groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_fp", F.col("id").alias("_keep_id"))
-        .agg(F.min("fp").alias("_keep_fp"))
+        .groupBy("component_fp", F.col("id").alias("keep_id"))
+        .agg(F.min("fp").alias("keep_fp"))
     )
-    keepers = cut(keepers.join(rows_per_id, F.col("_keep_id").eqNullSafe(F.col("_id"))).select("_keep_id", "_keep_fp", "_n"))
-    own = [docs[c] for c in docs.columns]
-    single = keepers.where("_n = 1")
-    once = docs.join(single, docs[id_col].eqNullSafe(single["_keep_id"])).select(*own)
-    shared = keepers.where("_n > 1")
-    if shared.isEmpty():
-        return once
-    ids = shared.select(F.col("_keep_id").alias("_shared_id")).distinct()
-    rest = docs.join(ids, docs[id_col].eqNullSafe(ids["_shared_id"])).select(*own)
-    marked = with_fingerprints(rest, rest.columns, text_col, options.get("width", 4))
-    kept = marked.join(shared, marked[id_col].eqNullSafe(shared["_keep_id"]) & (marked["fp"] == shared["_keep_fp"]))
-    return once.unionByName(kept.dropDuplicates([id_col, "fp"]).select(*docs.columns))
+    keepers = cut(keepers.join(rows_per_id, F.col("keep_id").eqNullSafe(F.col("own_id"))).select("keep_id", "keep_fp", "rows"))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    own = docs.toDF(*names)
+    same_id = F.col(key).eqNullSafe(F.col("keep_id"))
+    once = own.join(keepers.where("rows = 1"), same_id).select(*names)
+    shared = keepers.where("rows > 1")
+    if not shared.isEmpty():
+        ids = shared.select("keep_id").distinct()
+        marked = with_fingerprints(own.join(ids, same_id).select(*names), names, text, options.get("width", 4))
+        kept = marked.join(shared, same_id & (F.col("fp") == F.col("keep_fp")))
+        once = once.unionByName(kept.dropDuplicates([key, "fp"]).select(*names))
+    return once.toDF(*docs.columns)
