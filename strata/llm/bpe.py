@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -10,7 +11,7 @@ import os
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,32 +43,56 @@ class Vocabulary:
         raw = {t: b"".join(octet[c] for c in t) for t in data["model"]["vocab"]}
         self.ids: dict[bytes, int] = {raw[t]: i for t, i in data["model"]["vocab"].items()}
         self.added: dict[str, int] = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
+        self.letters: list[int] = [self.ids[bytes([b])] for b in range(256)]
+        self.ranks: dict[int, int] = {}  # of left id << 20 | right id
+        self.made: list[int] = []  # the id that each rank's merge makes
         for rank, merge in enumerate(data["model"]["merges"]):
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[raw[left], raw[right]] = rank
+            left, right = (raw[t] for t in (merge.split(" ") if isinstance(merge, str) else merge))
+            self.ranks[self.ids[left] << 20 | self.ids[right]] = rank
+            self.made.append(self.ids[left + right])
         self.octets: dict[int, bytes] = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
 
-    def merge(self, word: bytes) -> list[int]:
-        """The exact ids of one word: lowest rank first, leftmost among equals."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after = [*range(1, len(parts)), -1]
-        before = list(range(-1, len(parts) - 1))
-        heap = [(r, i, i + 1) for i in range(len(parts) - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+    def merge(self, word: bytes, short: int = 256) -> list[int]:
+        """The exact ids of one word: lowest rank first, leftmost among equals.
+
+        Words of at most ``short`` bytes look for the least rank in a list; longer
+        ones keep their pairs in a heap, so that time stays near the length.
+        """
+        if len(word) > short:
+            return self._merge_long(word)
+        get, never = self.ranks.get, len(self.made)
+        ids = [self.letters[b] for b in word]
+        ranks = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < never:
+            at = ranks.index(rank)
+            ids[at : at + 2] = (self.made[rank],)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | ids[at], never)
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 20 | ids[at + 1], never)
+        return ids
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        get = self.ranks.get
+        ids = [self.letters[b] for b in word]
+        after = [*range(1, len(ids)), -1]
+        before = list(range(-1, len(ids) - 1))
+        heap = [(r, i, i + 1) for i in range(len(ids) - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, j = heapq.heappop(heap)
-            if parts[i] is None or after[i] != j or self.ranks.get((parts[i], parts[j])) != rank:
+            if ids[i] < 0 or after[i] != j or get(ids[i] << 20 | ids[j]) != rank:
                 continue
-            parts[i], parts[j] = parts[i] + parts[j], None
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := self.ranks.get((parts[i], parts[k]))) is not None:
+                if (r := get(ids[i] << 20 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i, k))
-            if (h := before[i]) >= 0 and (r := self.ranks.get((parts[h], parts[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 20 | ids[i])) is not None:
                 heapq.heappush(heap, (r, h, i))
-        return [self.ids[p] for p in parts if p is not None]
+        return [i for i in ids if i >= 0]
 
 
 class Transducer:
@@ -94,18 +119,19 @@ class Transducer:
             at += np.dtype(kind).itemsize * n
         self._first, self._target, self._skip, self._start, self._ids, self._final = parts
         self._labels = at
+        self._letters = [bytes([b]) for b in range(256)]
 
     def lookup(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if the lexicon lacks it."""
+        first, target, skip, find, letters = self._first, self._target, self._skip, self._map.find, self._letters
+        base = self._labels
         state = place = 0
-        for i in range(len(word)):
-            low, high = self._first[state], self._first[state + 1]
-            edge = self._map.find(word[i : i + 1], self._labels + low, self._labels + high)
+        for b in word:
+            edge = find(letters[b], base + first[state], base + first[state + 1]) - base
             if edge < 0:
                 return None
-            edge -= self._labels
-            place += self._skip[edge]
-            state = self._target[edge]
+            place += skip[edge]
+            state = target[edge]
         if not self._final[state]:
             return None
         return self._ids[self._start[place] : self._start[place + 1]].tolist()
@@ -194,7 +220,7 @@ def word_counts(docs: DataFrame, text_col: str, flush: int = 500_000) -> DataFra
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int = 65_536, longest: int = 64) -> list[str]:
+def frequent_words(counts: DataFrame, most: int = 262_144, longest: int = 64) -> list[str]:
     """All words of at most ``longest`` letters seen at least 2**b times, for the least b that gives at most ``most``."""
     counts = cut(counts.where(F.length("word") <= longest).select("word", F.floor(F.log2("n")).cast("int").alias("b")))
     sizes = {r["b"]: r["n"] for r in counts.groupBy("b").agg(F.count("*").alias("n")).collect()}
@@ -209,34 +235,57 @@ def frequent_words(counts: DataFrame, most: int = 65_536, longest: int = 64) ->
     return [r["word"] for r in counts.where(F.col("b") >= least).select("word").collect()]
 
 
+class _Memo(dict):
+    """Decimal ids by word; a missing word is encoded, and decoded to see what comes back.
+
+    ``changed`` has the decoded bytes of words that don't come back as they were.
+    """
+
+    def __init__(self, encode, octets: dict[int, bytes]):
+        super().__init__()
+        self.changed: dict[str, bytes] = {}
+        self._encode, self._octets = encode, octets
+        self._digits = {i: str(i) for i in octets}
+
+    def __missing__(self, word: str) -> str:
+        raw = word.encode()
+        ids = self._encode(raw)
+        if (back := b"".join([self._octets[i] for i in ids])) != raw:
+            self.changed[word] = back
+        self[word] = made = ",".join([self._digits[i] for i in ids])
+        return made
+
+    def decode(self, words: list[str], text: str) -> bytes:
+        """What the ids of ``words``, which make up ``text``, decode to."""
+        if not self.changed:
+            return text.encode()
+        return b"".join([self.changed.get(w) or w.encode() for w in words])
+
+    def forget(self) -> None:
+        self.clear()
+        self.changed.clear()
+
+
 class Encoder:
     """Encodes texts: lexicon first, exact merges for words that it lacks.
 
-    ``memo`` keeps the words seen last, as decimal ids and decoded bytes; it is
-    emptied when it holds ``limit`` of them.
+    The words seen last are kept as decimal ids, and forgotten once there are more
+    than ``limit``.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None, limit: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None, limit: int = 400_000):
         import regex
 
         self.vocabulary, self.lexicon, self.limit = vocabulary, lexicon, limit
         self.words = regex.compile(WORDS)
         names = sorted(vocabulary.added, key=lambda t: (-len(t), t))
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.decimal: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.memo = _Memo(self.word, vocabulary.octets)
 
-    def word(self, word: str) -> list[int]:
-        raw = word.encode()
+    def word(self, raw: bytes) -> list[int]:
         found = self.lexicon.lookup(raw) if self.lexicon else None
         return self.vocabulary.merge(raw) if found is None else found
 
-    def _learn(self, words: Iterable[str]) -> None:
-        for w in words:
-            ids = self.word(w)
-            self.decimal[w] = ",".join(map(str, ids))
-            self.decoded[w] = b"".join(map(self.vocabulary.octets.__getitem__, ids))
-
     def encode(self, text: str) -> tuple[str, bytes]:
         """Ids as decimal text joined by commas, and the bytes that they decode to."""
         decimal, decoded = [], []
@@ -247,17 +296,15 @@ class Encoder:
                 decoded.append(self.vocabulary.octets[token])
             elif part:
                 words = self.words.findall(part)
-                if len(self.decimal) > self.limit:
-                    self.decimal.clear()
-                    self.decoded.clear()
-                self._learn(set(words).difference(self.decimal))
-                decimal.append(",".join(map(self.decimal.__getitem__, words)))
-                decoded.append(b"".join(map(self.decoded.__getitem__, words)))
+                if len(self.memo) > self.limit:
+                    self.memo.forget()
+                decimal.append(",".join(map(self.memo.__getitem__, words)))
+                decoded.append(self.memo.decode(words, part))
         return ",".join(decimal), b"".join(decoded)
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536, ids: bool = False
+    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 262_144, ids: bool = False
 ) -> DataFrame:
     """Each row's id, ``n_tokens``, and digests of its ids and of what they decode to.
 
@@ -280,6 +327,7 @@ def encode_documents(
     shared = context.broadcast(vocabulary)
 
     def start():
+        gc.disable()  # nothing here makes cycles, and the memo is long to walk
         encoder = Encoder(shared.value, Transducer(SparkFiles.get(name)))
 
         def work(texts: list[str]) -> list[list]:
