@@ -8,10 +8,11 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,17 @@ from pyspark.sql import functions as F
 from strata.llm.arrow import over_texts
 from strata.session import cut
 
-#: Fixed value: how byte-level BPE cuts a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# How byte-level BPE cuts a text into words, and the same over ASCII alone.
+WORDS = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+ASCII_WORDS = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+
+def word_splitter() -> Callable[[str], list[str]]:
+    """A function that cuts a text into words; texts all ASCII take the faster engine."""
+    import regex
+
+    every, plain = regex.compile(WORDS).findall, re.compile(ASCII_WORDS).findall
+    return lambda text: plain(text) if text.isascii() else every(text)
 
 
 def byte_letters() -> list[str]:
@@ -199,9 +209,7 @@ def word_counts(docs: DataFrame, text_col: str, flush: int = 500_000) -> DataFra
     """``(word, n)`` over all texts; each task adds up what it sees before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words = regex.compile(WORDS)
+        words = word_splitter()
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -211,7 +219,7 @@ def word_counts(docs: DataFrame, text_col: str, flush: int = 500_000) -> DataFra
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(words.findall(text or ""))
+                seen.update(words(text or ""))
             if len(seen) > flush:
                 yield out()
         yield out()
@@ -274,12 +282,10 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None, limit: int = 400_000):
-        import regex
-
         self.vocabulary, self.lexicon, self.limit = vocabulary, lexicon, limit
-        self.words = regex.compile(WORDS)
+        self.words = word_splitter()
         names = sorted(vocabulary.added, key=lambda t: (-len(t), t))
-        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.memo = _Memo(self.word, vocabulary.octets)
 
     def word(self, raw: bytes) -> list[int]:
@@ -295,7 +301,7 @@ class Encoder:
                 decimal.append(str(token))
                 decoded.append(self.vocabulary.octets[token])
             elif part:
-                words = self.words.findall(part)
+                words = self.words(part)
                 if len(self.memo) > self.limit:
                     self.memo.forget()
                 decimal.append(",".join(map(self.memo.__getitem__, words)))
