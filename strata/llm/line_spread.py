@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strata.session import cut
 
+#: Parts into which the exact count deals each line's rows.
+_SALTS = 8
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -34,9 +36,11 @@ def spread_lines(lines: DataFrame, min_sites: int, log_k: int = 12) -> DataFrame
         sketches.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("n_sites")).where(F.col("n_sites") >= min_sites - margin)
     )
     clear = estimated.where(F.col("n_sites") > min_sites + margin)
-    near = estimated.where(F.col("n_sites") <= min_sites + margin).select("k1", "k2")
+    near = estimated.where(F.col("n_sites") <= min_sites + margin)
+    near = near.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = lines.select("k1", "k2", "site", F.pmod(F.xxhash64("at", "id"), F.lit(_SALTS)).cast("int").alias("salt"))
     exact = (
-        lines.join(near, ["k1", "k2"]).select("k1", "k2", "site").distinct()
+        salted.join(near, ["k1", "k2", "salt"]).select("k1", "k2", "site").distinct()
         .groupBy("k1", "k2").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= min_sites)
     )
     return clear.unionByName(exact)
