@@ -22,7 +22,7 @@ TYPESCRIPT = re.compile(
 RUST_WORDS = frozenset("as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type unsafe use where while".split())
 TS_WORDS = frozenset("async await break case catch class const continue default delete do else export extends finally for function if import in instanceof interface let new of return static super switch this throw try typeof var void while yield".split())
 _FLOW = {"if", "for", "while", "loop", "match"}
-_LINT = re.compile(r"^(?P<inner>!?)\[\s*(?P<body>(?:cfg_attr\s*\(.*?,\s*)?(?P<kind>allow|expect)\s*\((?P<lints>.*)\)\s*\)?)\s*\]$", re.S)
+_LINT = re.compile(r"^(?P<inner>!?)\[\s*(?P<body>(?:cfg_attr\s*\(.*?,\s*)?(?P<kind>allow|expect)\s*\((?P<lints>[^()]*)\)\s*\)?)\s*\]$", re.S)
 
 
 def _digest(parts: list[str]) -> str:

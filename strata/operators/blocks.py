@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strata.operators.similarity import candidates, overlaps
 from strata.policy import NearClone
+from strata.session import cut
 
 ANCHORS = 8
 
@@ -16,16 +17,35 @@ def _positions(units: DataFrame, seq: str, name: str) -> DataFrame:
     return units.select(F.col("pos").alias(name), F.posexplode(seq).alias("at", "h"))
 
 
+def _runs(hits: DataFrame) -> DataFrame:
+    """Maximal runs of consecutive positions of each pair."""
+    group = F.col("at") - F.row_number().over(Window.partitionBy("q", "c").orderBy("at"))
+    return hits.withColumn("g", group).groupBy("q", "c", "g").agg(F.min("at").alias("start"), F.count("*").alias("length")).drop("g")
+
+
 def shared_runs(pairs: DataFrame, units: DataFrame, walker: str, other: str, seq: str, sets: str) -> DataFrame:
     """Runs of positions in the walker's stream whose shingles the other unit has.
 
-    Returns ``(q, c, start, length)`` for every maximal run of each pair.
+    Returns ``(q, c, start, length)`` for every maximal run of each pair. Every
+    position of a pair's walker is looked at, so this is for few pairs.
     """
     walk = pairs.select("q", "c").join(_positions(units, seq, walker), walker)
     has = units.select(F.col("pos").alias(other), F.explode(sets).alias("h"))
-    hits = walk.join(has, [other, "h"])
-    group = F.col("at") - F.row_number().over(Window.partitionBy("q", "c").orderBy("at"))
-    return hits.withColumn("g", group).groupBy("q", "c", "g").agg(F.min("at").alias("start"), F.count("*").alias("length")).drop("g")
+    return _runs(walk.join(has, [other, "h"]))
+
+
+def candidate_runs(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """:func:`shared_runs` of many pairs over the token stream, by way of the shingles.
+
+    Positions meet postings on the shingle, so that only shared positions arise,
+    and those of other pairs are dropped.
+    """
+    asking = units.join(pairs.select(F.col("q").alias("pos")).distinct(), "pos", "left_semi")
+    walk = asking.select("language", F.col("pos").alias("q"), F.posexplode("shingle_seq").alias("at", "h"))
+    told = units.join(pairs.select(F.col("c").alias("pos")).distinct(), "pos", "left_semi")
+    has = told.select("language", F.col("pos").alias("c"), F.explode("shingles").alias("h"))
+    hits = walk.join(has, ["language", "h"]).select("q", "c", "at")
+    return _runs(hits.join(pairs.select("q", "c"), ["q", "c"], "left_semi"))
 
 
 def longest_run(runs: DataFrame, minimum: int) -> DataFrame:
@@ -56,9 +76,9 @@ def block_matches(units: DataFrame, policy: NearClone | None = None, **options)
     """
     policy = policy or NearClone()
     minimum = policy.block_run
-    pairs = block_candidates(units, policy, **options)
-    left = longest_run(shared_runs(pairs, units, "q", "c", "shingle_seq", "shingles"), minimum)
-    left = left.select("q", "c", F.col("start").alias("left_start"), F.col("length").alias("left_length"))
+    pairs = cut(block_candidates(units, policy, **options))
+    left = longest_run(candidate_runs(pairs, units), minimum)
+    left = cut(left.select("q", "c", F.col("start").alias("left_start"), F.col("length").alias("left_length")))
     shape = longest_run(shared_runs(left, units, "q", "c", "ast_shingle_seq", "ast_shingles"), minimum)
     both = left.join(shape.select("q", "c", F.col("length").alias("ast_length")), ["q", "c"])
 

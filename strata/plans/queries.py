@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as T
 from strata.operators import blocks, changes, coverage, families, findings, metrics, similarity
 from strata.policy import NearClone, Policy, Suppression
-from strata.session import table
+from strata.session import cut, table
 from strata.sources.units import document_units, stored_units
 
 LOOSE = NearClone(minimum_sloc=1, minimum_tokens=20, max_candidates=64)
@@ -127,8 +127,7 @@ def near_clone_best(spark: SparkSession, sf: str) -> DataFrame:
 def block_longest_run(spark: SparkSession, sf: str) -> DataFrame:
     u = units(spark, sf)
     pairs = blocks.block_candidates(u, BLOCKS)
-    runs = blocks.shared_runs(pairs, u, "q", "c", "shingle_seq", "shingles")
-    return blocks.longest_run(runs, BLOCKS.block_run).select(
+    return blocks.longest_run(blocks.candidate_runs(cut(pairs), u), BLOCKS.block_run).select(
         F.col("q").alias("doc_id"), F.col("c").alias("other_id"), F.col("start").cast("int").alias("start"), "length"
     )
 

@@ -26,4 +26,4 @@ def summarise_arrivals(entries: DataFrame, cutoffs: list[int], out: str, checkpo
 
 def windowed_mass(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and values per event type in tumbling windows, late rows within the watermark included."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
