@@ -13,7 +13,7 @@ from strata.extract.common import Facts, Function, ParseError, Token, brackets,
 
 RUST = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<string>b?r(?P<_h>\#*)"(?:.|\n)*?"(?P=_h)|b?"(?:\\(?:.|\n)|[^"\\])*"|b?'(?:\\(?:[^u]|u\{[0-9a-fA-F_]+\})[0-9a-fA-F]?|[^'\\\n])')"""
-    r"""|(?P<number>[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?)|(?P<word>'?[^\W\d]\w*)|(?P<mark>=>|->|::|&&|\|\||\.\.=?|[-+*/%^!&|=<>]=|<<|>>|[^\w\s])"""
+    r"""|(?P<number>[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?)|(?P<word>'?[^\W\d]\w*)|(?P<mark>=>|->|::|&&|\|\||\.\.=?|[-+*/%^!&|=<>]=|<<|>>|[^\w\s"])"""
 )
 TYPESCRIPT = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<string>"(?:\\(?:.|\n)|[^"\\\n])*"|'(?:\\(?:.|\n)|[^'\\\n])*'|`(?:\\(?:.|\n)|[^`\\])*`)"""
