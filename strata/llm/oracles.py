@@ -1,5 +1,7 @@
 """DuckDB SQL for the pipeline operators that SQL can express."""
 
+from strata.llm import line_rules, secrets
+
 SHARDS = """
 WITH b AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
@@ -24,7 +26,112 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+LINE_SPREAD = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS site FROM documents),
+l AS (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l),
+s AS (SELECT t, true AS spread FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT site) >= 10),
+m AS (SELECT k.*, coalesce(spread, false) AS hit FROM k LEFT JOIN s USING (t)),
+a AS (
+  SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (hit) AS n_spread,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS rest
+  FROM m GROUP BY doc_id),
+f AS (SELECT a.*, d.text, n_spread > 0 AND length(rest) >= 0.5 * length(d.text) AS cut FROM a JOIN d USING (doc_id))
+SELECT doc_id, n_lines, n_spread, CASE WHEN cut THEN n_spread ELSE 0 END AS n_removed,
+  length(CASE WHEN cut THEN rest ELSE text END) AS n_chars_left, sha256(CASE WHEN cut THEN rest ELSE text END) AS text_sha256
+FROM f
+"""
+
+
+def _steps(name: str, pattern: str, group: int) -> str:
+    """A table of the matches of ``pattern``: each with the gap before it, so that lengths give places."""
+    whole = f"(?s)(.*?)(?:{pattern}|\\z)".replace("'", "''")
+    return f"""
+{name}_raw AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{whole}', 1)) AS gap, unnest(regexp_extract_all(text, '{whole}', 0)) AS part,
+    unnest(regexp_extract_all(text, '{whole}', {group})) AS v, generate_subscripts(regexp_extract_all(text, '{whole}', 0), 1) AS i
+  FROM d WHERE regexp_matches(text, '{pattern.replace("'", "''")}')),
+{name} AS (
+  SELECT doc_id, e - length(part) + length(gap) AS s, e, length(v) AS n, substr(part, length(gap) + 1) AS word FROM (
+    SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM {name}_raw) WHERE length(part) > length(gap))"""
+
+
+def _secrets() -> str:
+    rules = secrets.EntropyRules()
+    allowed = " OR ".join(f"regexp_matches(word, '{p}')" for p in rules.allowed)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_steps("assigned", secrets.ASSIGN, 2)},
+{_steps("access", secrets.ACCESS, 0)},
+{_steps("hexed", secrets.HEX, 0)},
+{_steps("strings", rules.candidate, 0)},
+base AS (
+  SELECT doc_id, s, 0 AS k, e FROM assigned WHERE n >= 6 UNION ALL SELECT doc_id, s, 1, e FROM access UNION ALL SELECT doc_id, s, 2, e FROM hexed),
+classed AS (
+  SELECT doc_id, s, e, word, CASE WHEN regexp_full_match(word, '[0-9a-fA-F]+') AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-fA-F]') THEN 'hex'
+    WHEN regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') THEN 'mixed' END AS class
+  FROM strings WHERE NOT ({allowed})),
+spots AS (SELECT *, unnest(range(1, length(word) - {rules.window} + 2)) AS place FROM classed WHERE class IS NOT NULL),
+chars AS (
+  SELECT doc_id, s, e, class, place, unnest(string_split(substr(CASE WHEN class = 'hex' THEN lower(word) ELSE word END, place, {rules.window}), '')) AS ch FROM spots),
+counts AS (SELECT doc_id, s, e, class, place, ch, count(*) AS c FROM chars GROUP BY ALL),
+weights AS (SELECT doc_id, s, e, class, place, sum(round(c * log2(c) * 1048576)) AS weight FROM counts GROUP BY ALL),
+dense AS (
+  SELECT doc_id, s, 3 AS k, e FROM weights GROUP BY doc_id, s, e, class
+  HAVING min(weight) <= CASE class WHEN 'hex' THEN {secrets._limit(rules.bits["hex"], rules.window)} ELSE {secrets._limit(rules.bits["mixed"], rules.window)} END),
+added AS (SELECT * FROM dense WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = dense.doc_id AND b.s < dense.e AND dense.s < b.e)),
+every AS (
+  SELECT *, CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END || ':' || s || ':' || e AS span
+  FROM (FROM base UNION ALL FROM added)),
+found AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,
+    string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base_spans, string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
+def _line_rules() -> str:
+    r = line_rules.LineRules()
+    words = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+    stops = line_rules.STOPS.replace("'", "''")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {words.format("text")} AS t FROM d),
+spread AS (SELECT doc_id, unnest(range(1, len(t) - 3)) AS i, t FROM w),
+windows AS (SELECT doc_id, i, t[i:i+4] AS g FROM spread),
+twice AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM windows JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+own AS (SELECT doc_id, line, {words.format("line")} AS t FROM lines),
+full_lines AS (SELECT *, len(t) AS n, length(array_to_string(t, '')) AS chars FROM own WHERE len(t) > 0),
+judged AS (
+  SELECT doc_id, line, chars,
+    len(list_filter(t, lambda x: length(regexp_replace(x, '[^{line_rules.SYMBOLS}]', '', 'g')) >= 2)) > {r.max_symbol_words} * n
+    OR (length(line) - length(replace(line, '!!', ''))) // 2 > {r.max_shout_words} * n
+    OR n >= {r.min_words} AND len(list_filter(range(1, n), lambda i: t[i] = t[i + 1])) > {r.max_stutter_words} * n
+    OR len(list_filter(t, lambda x: contains('{line_rules.SEPARATORS}', x))) >= {r.min_separators} AND len(list_filter(t, lambda x: contains('{line_rules.SEPARATORS}', x))) > {r.max_separators} * n
+    OR n <= {r.max_unstopped_words} AND NOT contains('{stops}', right(t[n], 1))
+    OR n <= {r.max_boilerplate_words} AND regexp_matches(lower(line), '{line_rules.BOILERPLATE}') AS failed
+  FROM full_lines),
+per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars
+  FROM judged GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, len(t) AS n_words, length(array_to_string(t, '')) AS word_chars, length(regexp_replace(text, '[^{line_rules.SYMBOLS}]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost_chars, 0) AS lost_chars
+  FROM w LEFT JOIN per USING (doc_id) LEFT JOIN covered USING (doc_id)),
+g AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND lost_chars <= {r.max_loss} * word_chars AS kept FROM g
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_extendible_shards": SHARDS,
     "op5_nra_top_k": TOP_K,
+    "op6_entropy_secrets": _secrets(),
+    "op8_line_rules": _line_rules(),
+    "op10_line_spread": LINE_SPREAD,
 }
