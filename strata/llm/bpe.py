@@ -9,10 +9,12 @@ import json
 import mmap
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -229,8 +231,8 @@ def word_counts(docs: DataFrame, text_col: str, flush: int = 500_000) -> DataFra
 
 
 def frequent_words(counts: DataFrame, most: int = 262_144, longest: int = 64) -> list[str]:
-    """All words of at most ``longest`` letters seen at least 2**b times, for the least b that gives at most ``most``."""
-    counts = cut(counts.where(F.length("word") <= longest).select("word", F.floor(F.log2("n")).cast("int").alias("b")))
+    """All words of at most ``longest`` letters seen at least 2**(b / 4) times, for the least b that gives at most ``most``."""
+    counts = cut(counts.where(F.length("word") <= longest).select("word", F.floor(F.log2("n") * 4).cast("int").alias("b")))
     sizes = {r["b"]: r["n"] for r in counts.groupBy("b").agg(F.count("*").alias("n")).collect()}
     total, least = 0, None
     for b in sorted(sizes, reverse=True):
@@ -281,7 +283,7 @@ class Encoder:
     than ``limit``.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None, limit: int = 800_000):
         self.vocabulary, self.lexicon, self.limit = vocabulary, lexicon, limit
         self.words = word_splitter()
         names = sorted(vocabulary.added, key=lambda t: (-len(t), t))
@@ -309,6 +311,14 @@ class Encoder:
         return ",".join(decimal), b"".join(decoded)
 
 
+def _worker_encoder(name: str, make: Callable[[], Encoder]) -> Encoder:
+    """The encoder of this Python worker, which Spark uses for several tasks: one at a time, by its transducer's name."""
+    kept = sys.modules.setdefault("_strata_encoder", ModuleType("_strata_encoder")).__dict__
+    if kept.get("name") != name:
+        kept.update(name=name, encoder=make())
+    return kept["encoder"]
+
+
 def encode_documents(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 262_144, ids: bool = False
 ) -> DataFrame:
@@ -334,7 +344,7 @@ def encode_documents(
 
     def start():
         gc.disable()  # nothing here makes cycles, and the memo is long to walk
-        encoder = Encoder(shared.value, Transducer(SparkFiles.get(name)))
+        encoder = _worker_encoder(name, lambda: Encoder(shared.value, Transducer(SparkFiles.get(name))))
 
         def work(texts: list[str]) -> list[list]:
             rows = [encoder.encode(t) for t in texts]
