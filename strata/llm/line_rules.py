@@ -20,7 +20,7 @@ STOPS = ".!?…。:;\"'”’)»"
 BOILERPLATE = (
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies"
     r"|enable javascript|subscribe to|sign up for|log ?in to|click here|read more|share (?:this|on)"
-    r"|licensed under|released under|lorem ipsum"
+    r"|lorem ipsum"
 )
 
 
