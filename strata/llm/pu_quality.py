@@ -52,7 +52,7 @@ def features(text: str) -> np.ndarray:
     if not n:
         return out
     distinct = len(set(words))
-    capital = sum(map(bytes.istitle, words)) if n <= 2000 else sum(map(bytes.istitle, words[:: n // 1000])) * n / len(words[:: n // 1000])
+    capital = sum(map(bytes.istitle, words))
     lines = [x for x in octets.split(b"\n") if x.split()]
     out[k + 1 :] = (
         np.log1p(n) / 10,
