@@ -181,7 +181,8 @@ def training_sample(
     A row is a trusted positive if all its labels are 1; rows with another label
     serve as neither. Of each role, rows whose id hashes below a threshold are
     taken, so that about ``most_positive`` and ``most_unlabelled`` come at any
-    size; only their texts move.
+    size. An id that stands on many rows gives one of them, so that repeats can't
+    fill the driver. Only 25 numbers a row leave the scan's tasks.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     marks = marks.groupBy("id").agg(F.min("y").alias("y"))
@@ -204,7 +205,8 @@ def training_sample(
     def start():
         return lambda texts: [[features(t).tolist() for t in texts]]
 
-    rows = over_texts(chosen, ["id", "role"], "text", "x array<double>", start).collect()
+    marked = over_texts(chosen, ["id", "role"], "text", "x array<double>", start)
+    rows = marked.groupBy("id", "role").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     made = [np.array([r["x"] for r in rows if r["role"] == role]).reshape(-1, N_FEATURES) for role in (1, 0)]
     rng = np.random.default_rng(3)

@@ -51,3 +51,17 @@ def test_odd_rows_and_missing_roles(spark, docs):
     odd = spark.createDataFrame([(1, "a", 0.5, 3)], "doc_id int, text string, score double, id int")
     assert [tuple(r) for r in pu_quality.keep_good(odd, none).collect()] == [(1, "a", 0.5, 3)]
     assert pu_quality.pu_quality(odd, none).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_every_word_of_a_long_text_counts():
+    share = lambda n: pu_quality.features("lower Upper " * n)[len(pu_quality._CLASSES) + 6]
+    assert share(100) == share(5_000) == 0.5
+
+
+def test_a_repeated_id_is_sampled_once(docs, spark):
+    rows = [(1, "one text")] * 300 + [(2, "another."), (4, "good words."), (6, "more good words.")]
+    labels = spark.createDataFrame([(4, 1), (6, 1)], "doc_id bigint, quality int")
+    free = [i for i in (1, 2, 4, 6) if not held_out(i)]
+    positive, unlabelled = pu_quality.training_sample(docs(rows), labels, "doc_id", "text", "quality", 1_000, 1_000)
+    assert (len(positive), len(unlabelled)) == (sum(i in (4, 6) for i in free), sum(i in (1, 2) for i in free))
+    assert len(positive) and len(unlabelled)
