@@ -61,12 +61,15 @@ def _spread_positions(docs: DataFrame, min_sites: int) -> DataFrame:
     lines = _lines(docs)
     spread = cut(spread_lines(lines, min_sites))
     hits = lines.join(spread.select("k1", "k2"), ["k1", "k2"])
-    return hits.groupBy("id", "h").agg(F.collect_set("at").alias("drop"))
+    return hits.groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("drop"))
 
 
 def _cleaned(text: Column, drop: Column, max_loss: float) -> Column:
-    lines = F.split(text, "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    """The lines at other places than ``drop`` (sorted), in time linear in the text; null if too much would go."""
+    gap = lambda at, before: F.concat(F.repeat(F.lit("0"), at - before - 1), F.lit("1"))
+    flags = F.array_join(F.zip_with(drop, F.concat(F.array(F.lit(-1)), drop), gap), "")
+    left = F.zip_with(F.split(text, "\n"), F.split(flags, ""), lambda line, flag: F.when(F.coalesce(flag, F.lit("0")) != "1", line))
+    rest = F.array_join(left, "\n")  # without the nulls
     return F.when(F.length(rest) >= (1 - max_loss) * F.length(text), rest)
 
 

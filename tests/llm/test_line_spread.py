@@ -63,3 +63,13 @@ def test_query_over_the_whole_table(spark):
     found = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = plain([f[:2] for f in found], [f[2] for f in found], 10)
     assert sorted(tuple(r) for r in op10_line_spread(spark, sf).collect()) == sorted(w[:6] for w in want)
+
+
+def test_many_spread_lines_in_a_long_text(docs):
+    shared = [f"shared {k}" for k in range(20_000)]
+    own = [f"the only copy of line {k} in all of the texts" for k in range(20_000)]
+    mixed = [x for pair in zip(own, shared) for x in pair]
+    rows = [(1, "\n".join(mixed)), *((k, "\n".join(shared)) for k in range(2, 4))]
+    got = {r.doc_id: r for r in line_spread_report(docs(rows, ["a", "b", "c"]), min_sites=3).collect()}
+    assert (got[1].n_spread, got[1].n_removed, got[1].n_chars_left) == (20_000, 20_000, len("\n".join(own)))
+    assert (got[2].n_spread, got[2].n_removed) == (20_000, 0)
