@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as T
 from strata.operators import blocks, changes, coverage, families, findings, metrics, similarity
 from strata.policy import NearClone, Policy, Suppression
-from strata.session import cut, table
+from strata.session import cut, dealt, table
 from strata.sources.units import document_units, stored_units
 
 LOOSE = NearClone(minimum_sloc=1, minimum_tokens=20, max_candidates=64)
@@ -28,11 +28,11 @@ def r6(c: Column) -> Column:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return dealt(table(spark, sf, "documents"), "doc_id")
 
 
-def units(spark: SparkSession, sf: str, roles: bool = False) -> DataFrame:
-    return stored_units(docs(spark, sf), table(spark, sf, "labels") if roles else None)
+def units(spark: SparkSession, sf: str, *columns: str, roles: bool = False) -> DataFrame:
+    return stored_units(docs(spark, sf), table(spark, sf, "labels") if roles else None, columns)
 
 
 def tokens(df: DataFrame, *keep: str) -> DataFrame:
@@ -54,7 +54,7 @@ def shingle_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shingle_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    found = similarity.overlaps(units(spark, sf))
+    found = similarity.overlaps(units(spark, sf, "pos", "language", "shingles"))
     return found.where("overlap >= 5").select(F.col("q").alias("doc_id"), F.col("c").alias("other_id"), "overlap")
 
 
@@ -94,7 +94,7 @@ def hex_codec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_clone_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf)
+    u = units(spark, sf, "pos", "language", "shingles")
     n = u.select("pos", F.size("shingles").alias("n"))
     found = similarity.overlaps(u)
     q, c = n.select(F.col("pos").alias("q"), F.col("n").alias("nq")), n.select(F.col("pos").alias("c"), F.col("n").alias("nc"))
@@ -103,7 +103,7 @@ def near_clone_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_clone_topk(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf)
+    u = units(spark, sf, "pos", "language", "path", "start_line", "qualified_name", "shingles")
     top = similarity.candidates(u, similarity.overlaps(u), 64)
     return top.select(F.col("q").alias("doc_id"), F.col("c").alias("other_id"), "overlap", F.col("rn").alias("place"))
 

@@ -48,6 +48,10 @@ def document_units(docs: DataFrame, labels: DataFrame | None = None, streams: bo
     return base.drop("tokens", "shapes")
 
 
-def stored_units(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """:func:`document_units`, computed once: the joins below read its streams several times."""
-    return cut(document_units(docs, labels))
+def stored_units(docs: DataFrame, labels: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`document_units`, computed once: the joins below read its streams several times.
+
+    ``columns`` names those wanted, if not all; the others are never computed.
+    """
+    made = document_units(docs, labels)
+    return cut(made.select(*columns) if columns else made)
