@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import length_buckets, line_spread, pu_quality, secrets, simhash
+from strata.llm import length_buckets, line_spread, near_copies, pu_quality, secrets
 from strata.session import scratch_path, table
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -175,6 +175,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     columns are returned, extra ones whatever their names.
     """
     groups = cut(simhash_groups(docs, id_col, text_col, **options))
+    width = options.get("width", 4)
+    return keep_one(docs, groups, lambda df, keep, text: with_fingerprints(df, keep, text, width), id_col, text_col)
+
+
+def keep_one(
+    docs: DataFrame, groups: DataFrame, mark: Callable[[DataFrame, list[str], str], DataFrame], id_col: str, text_col: str
+) -> DataFrame:
+    """``docs`` with one row of each component of ``groups``: ``(id, fp, component_id, component_fp)`` per row.
+
+    ``mark`` gives the kept columns and ``fp`` of rows whose id others share.
+    """
     rows_per_id = groups.groupBy(F.col("id").alias("own_id")).agg(F.count("*").alias("rows"))
     keepers = (
         groups.where(F.col("id").eqNullSafe(F.col("component_id")))
@@ -190,7 +201,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = keepers.where("rows > 1")
     if not shared.isEmpty():
         ids = shared.select("keep_id").distinct()
-        marked = with_fingerprints(own.join(ids, same_id).select(*names), names, text, options.get("width", 4))
+        marked = mark(own.join(ids, same_id).select(*names), names, text)
         kept = marked.join(shared, same_id & (F.col("fp") == F.col("keep_fp")))
         once = once.unionByName(kept.dropDuplicates([key, "fp"]).select(*names))
     return once.toDF(*docs.columns)
