@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share leave the texts."""
-    return line_spread.remove_spread_lines(docs)
+    """Lines that many sites share leave the texts that have others."""
+    return line_spread.remove_spread_lines(docs, max_loss=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,12 +64,17 @@ def _spread_positions(docs: DataFrame, min_sites: int) -> DataFrame:
     return hits.groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("drop"))
 
 
-def _cleaned(text: Column, drop: Column, max_loss: float) -> Column:
-    """The lines at other places than ``drop`` (sorted), in time linear in the text; null if too much would go."""
+def _cleaned(text: Column, drop: Column, max_loss: float | None) -> Column:
+    """The lines at other places than ``drop`` (sorted), in time linear in the text; null if too much would go.
+
+    Without ``max_loss``, too much is every line with a visible character.
+    """
     gap = lambda at, before: F.concat(F.repeat(F.lit("0"), at - before - 1), F.lit("1"))
     flags = F.array_join(F.zip_with(drop, F.concat(F.array(F.lit(-1)), drop), gap), "")
     left = F.zip_with(F.split(text, "\n"), F.split(flags, ""), lambda line, flag: F.when(F.coalesce(flag, F.lit("0")) != "1", line))
     rest = F.array_join(left, "\n")  # without the nulls
+    if max_loss is None:
+        return F.when(F.btrim(rest, F.lit(_BLANK)) != "", rest)
     return F.when(F.length(rest) >= (1 - max_loss) * F.length(text), rest)
 
 
@@ -79,13 +84,14 @@ def remove_spread_lines(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 10,
-    max_loss: float = 0.5,
+    max_loss: float | None = 0.5,
 ) -> DataFrame:
     """``docs`` without the lines that stand on ``min_sites`` or more distinct sites.
 
     All rows and columns stay; only texts change. A document that would lose more
     than ``max_loss`` of its characters is a copy made of spread lines rather than
     a page with boilerplate: it stays whole, for near-duplicate removal to judge.
+    If ``max_loss`` is None, only documents without any other visible line do.
 
     Lines are compared without surrounding ASCII white space; blank ones never
     count. A null site is one site of its own. Null texts stay null. Rows with
