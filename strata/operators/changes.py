@@ -75,11 +75,17 @@ class BudgetExceeded(RuntimeError):
     """A line diff needed more cells than allowed."""
 
 
+#: The distance of cells outside the band.
+_FAR = 1 << 29
+
+
 def added_line_numbers(base: list, head: list, budget: int = 25_000_000) -> list[int]:
     """1-based head lines outside a longest common subsequence, deletions first among ties.
 
-    A common prefix is skipped, then the table of common lengths is filled row by
-    row; more than ``budget`` cells raise :class:`BudgetExceeded`.
+    A common prefix is skipped, then the distances between all rests are filled
+    in a band around the diagonal, as wide as the lengths differ at first and
+    doubled until the distance is at most the band: a path that leaves it costs
+    more. A band of more than ``budget`` cells raises :class:`BudgetExceeded`.
     """
     skip = 0
     while skip < min(len(base), len(head)) and base[skip] == head[skip]:
@@ -87,18 +93,33 @@ def added_line_numbers(base: list, head: list, budget: int = 25_000_000) -> list
     names = {v: i for i, v in enumerate(dict.fromkeys([*base[skip:], *head[skip:]]))}
     a = np.array([names[v] for v in base[skip:]], dtype=np.int64)
     b = np.array([names[v] for v in head[skip:]], dtype=np.int64)
-    if (len(a) + 1) * (len(b) + 1) > budget:
-        raise BudgetExceeded(f"{(len(a) + 1) * (len(b) + 1)} cells exceed the budget of {budget}")
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        best = np.where(b == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    if not len(a) or not len(b):
+        return list(range(skip + 1, skip + len(b) + 1))
+    whole, width = max(len(a), len(b)), budget // (len(a) + 1)
+    most = whole if width > len(b) else (width - 1) // 2
+    band = abs(len(a) - len(b))
+    while True:
+        cells = (len(a) + 1) * min(2 * band + 1, len(b) + 1)
+        if cells > budget:
+            raise BudgetExceeded(f"{cells} cells exceed the budget of {budget}")
+        table = _distances(a, b, band)
+        if table[0, 0] <= band or band == whole:
+            break
+        wider = min(max(2 * band, 1), whole, most)
+        if wider <= band:
+            raise BudgetExceeded(f"a band wider than {band} exceeds the budget of {budget} cells")
+        band = wider
+
+    def distance(i: int, j: int) -> int:
+        low = max(0, i - band)
+        return int(table[i, j - low]) if low <= j <= min(len(b), i + band) else _FAR
+
     i = j = 0
     added = []
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
+        elif distance(i + 1, j) <= distance(i, j + 1):
             i += 1
         else:
             added.append(skip + j + 1)
@@ -106,6 +127,31 @@ def added_line_numbers(base: list, head: list, budget: int = 25_000_000) -> list
     return added + list(range(skip + j + 1, skip + len(b) + 1))
 
 
+def _distances(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Insertions and deletions from each rest of ``a`` to each of ``b``, at most ``band`` off the diagonal.
+
+    Row ``i`` begins with column ``max(0, i - band)``.
+    """
+    table = np.full((len(a) + 1, min(2 * band + 1, len(b) + 1)), _FAR, dtype=np.int32)
+    for i in range(len(a), -1, -1):
+        low, high = max(0, i - band), min(len(b), i + band)
+        at = np.arange(low, high + 1, dtype=np.int32)
+        if i == len(a):
+            table[i, : len(at)] = len(b) - at
+            continue
+        below = np.full(len(at) + 1, _FAR, dtype=np.int32)  # the next row's columns low to high + 1
+        first, last = max(0, i + 1 - band), min(len(b), i + 1 + band)
+        start, end = max(low, first), min(high + 1, last)
+        below[start - low : end - low + 1] = table[i + 1, start - first : end - first + 1]
+        best = below[:-1] + 1
+        inner = min(high + 1, len(b)) - low
+        best[:inner] = np.where(b[low : low + inner] == a[i], below[1 : inner + 1], best[:inner])
+        if high == len(b):
+            best[-1] = len(a) - i
+        table[i, : len(at)] = np.minimum.accumulate((best + at)[::-1])[::-1] - at
+    return table
+
+
 def added_lines(pairs: DataFrame, key: str, base: str, head: str, budget: int = 25_000_000) -> DataFrame:
     """``(key, line, status)``: added head lines of each pair of line-hash arrays.
 

@@ -85,13 +85,18 @@ def validate_manifest(declared: DataFrame, true: DataFrame) -> None:
 
 
 def added_lines(base_meta: DataFrame, head_meta: DataFrame, moves: DataFrame) -> DataFrame:
-    """``(path, line)``: head lines that the baseline's version lacks; all lines of new files."""
+    """``(path, line)``: head lines that the baseline's version lacks; all lines of new files.
+
+    A diff over its cell budget raises, as rules on added lines would miss that file's.
+    """
     here = head_meta.join(moves.where("status in ('added', 'changed')").select("path", F.coalesce("old_path", "path").alias("old")), "path")
     old = base_meta.select(F.col("path").alias("old"), F.col("line_hashes").alias("b"))
     pairs = here.select("path", "old", F.col("line_hashes").alias("h")).join(old, "old", "left")
     fresh = pairs.where("b is null").select("path", F.posexplode("h").alias("at", "x")).select("path", (F.col("at") + 1).alias("line"))
-    known = changes.added_lines(pairs.where("b is not null"), "path", "b", "h").where("status = 'ok'").select("path", "line")
-    return cut(fresh.unionByName(known))
+    known = cut(changes.added_lines(pairs.where("b is not null"), "path", "b", "h"))
+    if over := known.where("status <> 'ok'").agg(F.min("path").alias("path")).first()["path"]:
+        raise SnapshotError(f"{over}: line diff budget exceeded")
+    return cut(fresh.unionByName(known.select("path", "line")))
 
 
 def analyze(entries: DataFrame) -> Revision:
