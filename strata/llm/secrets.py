@@ -13,7 +13,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # of the runs AKIA[A-Z0-9]+ just those of 20 or more
 HEX = r"[0-9a-f]{24,}"  # of the runs [0-9a-f]+ just those of 24 or more
 KINDS = ("assign", "access", "hex", "entropy")
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "single": "abcdefghijklmnopqrstuvwxyz0123456789"}
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6}|0{8}|0123456789|abcdefghij",
@@ -26,7 +26,7 @@ class EntropyRules:
     """Bits per character a window must reach, by character class, and patterns that clear a candidate."""
 
     window: int = 20
-    bits: dict[str, float] = field(default_factory=lambda: {"hex": 3.0, "mixed": 3.8})
+    bits: dict[str, float] = field(default_factory=lambda: {"hex": 3.0, "mixed": 3.8, "lower": 3.5, "upper": 3.5})
     allowed: tuple[str, ...] = ALLOWED
 
     @property
@@ -106,12 +106,20 @@ def _limit(bits: float, window: int) -> int:
     return math.floor(window * (math.log2(window) - bits) * _SCALE)
 
 
+def _dense_piece(word: Column, rules: EntropyRules, case: str) -> Column:
+    """Whether a run of letters and digits in a string of one case holds a window of high entropy."""
+    pieces = F.filter(F.split(F.lower(word), "[+/_=-]"), lambda p: (F.length(p) >= rules.window) & p.rlike("[0-9]") & p.rlike("[a-z]"))
+    limit = _limit(rules.bits[case], rules.window)
+    return F.exists(pieces, lambda p: least_weight(p, ALPHABETS["single"], rules.window) <= limit)
+
+
 def high_entropy(word: Column, rules: EntropyRules) -> Column:
     """Whether a candidate holds a window of high entropy for its character class and no pattern allows it.
 
     Hexadecimal strings with a letter and a digit are judged over 16 symbols;
-    others must mix upper case, lower case and digits; the rest, words and plain
-    numbers among them, are no secrets.
+    others must mix upper case, lower case and digits. Of strings in one case,
+    pieces between symbols count that have a letter and a digit; the rest, words
+    and plain numbers among them, are no secrets.
     """
     is_hex = word.rlike("^[0-9a-fA-F]+$") & word.rlike("[0-9]") & word.rlike("[a-fA-F]")
     is_mixed = word.rlike("[0-9]") & word.rlike("[a-z]") & word.rlike("[A-Z]")
@@ -121,6 +129,8 @@ def high_entropy(word: Column, rules: EntropyRules) -> Column:
     dense = F.when(
         is_hex, least_weight(F.lower(word), ALPHABETS["hex"], rules.window) <= _limit(rules.bits["hex"], rules.window)
     ).when(is_mixed, least_weight(word, ALPHABETS["mixed"], rules.window) <= _limit(rules.bits["mixed"], rules.window))
+    for case, letters, others in (("lower", "[a-z]", "[A-Z]"), ("upper", "[A-Z]", "[a-z]")):
+        dense = dense.when(word.rlike("[0-9]") & word.rlike(letters) & ~word.rlike(others), _dense_piece(word, rules, case))
     return ~allowed & F.coalesce(dense, F.lit(False))
 
 
