@@ -1,33 +1,32 @@
-"""Near copies: all pairs of texts whose word shingles reach a Jaccard similarity."""
+"""Near copies by wide SimHash fingerprints, multi-index hashing and the exact Jaccard similarity of word shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.llm.arrow import BATCH_ROWS
-from strata.llm.simhash import keep_one
+from strata.llm.simhash import ball, bit_counts, keep_one, with_least_id
 from strata.operators.graph import connected_components
-from strata.session import cut
+from strata.session import cut, small
 
-_SKETCH_BITS = 1024
-#: Texts whose shingles are counted to learn which are common, and how many of these are kept.
-_SAMPLE, _COMMON, _COMMON_LEAST = 20_000, 8_192, 10
+_STEP = 0x9E3779B97F4A7C15  # odd, so that every word of a fingerprint mixes the shingles anew
+_MEMBERS = 64  # larger components of the first pass don't meet themselves in the second
 
 
-def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted distinct XXH64 values of a text's shingles; words as in :func:`strata.llm.simhash.fingerprint`.
 
     Fewer words than ``width`` make one shingle, no word or a null text none.
     """
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
     width = min(width, len(words))
@@ -46,26 +45,42 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 1)).view(np.int64)) if len(shingles) else 0
 
 
-def prefix(shingles: np.ndarray, percent: int, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles in one order for all texts, rare before common ones.
+def differing(percent: int) -> float:
+    """The chance that a bit differs between two sets at exactly the similarity: the angle of their indicator vectors over pi."""
+    return math.acos(2 * percent / (100 + percent)) / math.pi
 
-    Two sets with ``100 |A & B| >= percent |A | B|`` share at least
-    ``percent / 100`` of the larger, so that they share one of the first
-    ``n - ceil(percent n / 100) + 1`` of each, whatever the order.
+
+def within(size: int, chance: float, most: int) -> float:
+    """The chance that at most ``most`` of ``size`` bits differ."""
+    return sum(math.comb(size, i) * chance**i * (1 - chance) ** (size - i) for i in range(most + 1))
+
+
+def layout(rows: int, percent: int, recall: float) -> tuple[int, int, int]:
+    """``(segments, bits of each, most differing bits of a fingerprint)`` for so many rows.
+
+    A segment has five bits more than the rows need, so that chance meetings stay
+    a few per row and segment at any size. There are as many segments as a pair
+    just at the similarity needs to come within two bits in one of them with
+    probability ``recall``; the whole fingerprint may differ by three standard
+    deviations more than such a pair's does on average.
     """
-    if not len(shingles):
-        return shingles
-    keep = len(shingles) + percent * len(shingles) // -100 + 1
-    if not len(common):
-        return shingles[:keep]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.lexsort((shingles, np.where(common[at] == shingles, ranks[at], 0)))][:keep]
+    size = min(32, max(16, math.ceil(math.log2(max(2, rows))) + 5))
+    chance = differing(percent)
+    count = math.ceil(math.log(1 - recall) / math.log(1 - within(size, chance, 2)))
+    bits = 64 * -(-count // 2)
+    return count, size, math.ceil(bits * chance + 3 * math.sqrt(bits * chance * (1 - chance)))
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by their top bits: sets differ by no fewer elements than their sketches by bits."""
-    parity = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=_SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit SimHash words, each over another mix of the shingles' hashes."""
+    out = np.zeros(words, dtype=np.int64)
+    for k in range(words):
+        mixed = shingles + np.uint64(_STEP * (k + 1) % 2**64)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        mixed ^= mixed >> np.uint64(33)
+        out[k] = np.packbits(bit_counts(mixed) * 2 > len(shingles), bitorder="little").view(np.int64)[0]
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -75,7 +90,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _mapped(source: DataFrame, width: int, schema: str, columns) -> DataFrame:
-    """``source`` without its last column, a text, and with what ``columns`` makes of the texts' shingle sets."""
+    """``source`` without its last column, a text as bytes, and with what ``columns`` makes of the texts' shingle sets."""
     keep = source.columns[:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
@@ -91,39 +106,35 @@ def _mapped(source: DataFrame, width: int, schema: str, columns) -> DataFrame:
 
 def with_set_keys(docs: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``fp``, the key of the text's shingle set."""
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
     return _mapped(source, width, "fp bigint", lambda sets: {"fp": pa.array([set_key(s) for s in sets], pa.int64())})
 
 
-def _common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample hold, sorted, and their counts; only the speed depends on them."""
-    share = max(1, texts.count() // _SAMPLE)
-    sample = texts.where(F.pmod("h", F.lit(share)) == 0).dropDuplicates(["h"]).select("text")
-    every = _mapped(sample, width, "s array<bigint>", lambda sets: {"s": _lists(sets)}).select(F.explode("s").alias("s"))
-    counted = every.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= _COMMON_LEAST)
-    rows = sorted((int(np.int64(r.s).view(np.uint64)), r.n) for r in counted.orderBy(F.desc("n"), "s").limit(_COMMON).collect())
-    return np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+def _segments(count: int, size: int) -> list[Column]:
+    """The segments of ``bits``: two to a word, the lower ``size`` bits of each half; the segment's number above."""
+    mask = F.lit((1 << size) - 1).cast("bigint")
+    half = lambda i: F.shiftrightunsigned(F.get("bits", F.lit(i // 2)), 32 * (i % 2))
+    return [half(i).bitwiseAND(mask).bitwiseOR(F.lit(i << 40).cast("bigint")) for i in range(count)]
 
 
-def _possible(percent: int) -> Column:
-    """Whether sizes and sketches of ``x`` and ``y`` leave a pair possible: never false for a pair that is similar enough."""
-    both = F.col("x.n") + F.col("y.n")
-    apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+def _possible(pairs: DataFrame, vertices: DataFrame, distance: int, percent: int) -> DataFrame:
+    """Pairs whose complete distance and sizes leave the similarity possible, and that no link has joined yet."""
+    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return sized & ((100 + percent) * (both - apart) >= 2 * percent * both)
-
-
-def _verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``(a, b)``, keys of sets, whose Jaccard similarity reaches ``percent``."""
     x, y = vertices.alias("x"), vertices.alias("y")
-    possible = cut(
-        pairs.join(x, F.col("a") == F.col("x.fp")).join(y, (F.col("b") == F.col("y.fp")) & _possible(percent)).select("a", "b")
+    met = pairs.join(x, F.col("a") == F.col("x.fp")).join(
+        y, (F.col("b") == F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= distance)
     )
+    return cut(met.select("a", "b"))
+
+
+def _similar(possible: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``(a, b)``, keys of sets, whose Jaccard similarity is ``percent`` hundredths or more: whole sets are compared."""
     asked = possible.select(F.col("a").alias("fp")).unionAll(possible.select(F.col("b").alias("fp"))).distinct()
-    wanted = asked.join(vertices, "fp").select("fp", F.col("h").alias("wanted"))
-    found = texts.join(wanted, F.col("h") == F.col("wanted")).select("fp", "text")
-    sets = _mapped(found, width, "s array<bigint>", lambda sets: {"s": _lists(sets)})
-    sets = cut(sets.dropDuplicates(["fp"]))
+    wanted = cut(asked.join(vertices, "fp").select("fp", F.col("h").alias("wanted")))
+    found = texts.join(small(wanted), F.col("h") == F.col("wanted")).select("fp", "text")
+    sets = _mapped(found, width, "s array<bigint>", lambda sets: {"s": _lists(sets)}).dropDuplicates(["fp"])
+    sets = cut(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,66 +146,102 @@ def _verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, width: in
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     ones = possible.join(sets.select(F.col("fp").alias("a"), "s"), "a")
-    return cut(ones.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint"))
+    both = ones.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
+    return cut(both.mapInArrow(run, "a bigint, b bigint"))
+
+
+def _rooted(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """``vertices`` with ``root``, the least vertex of their component."""
+    labels = connected_components(links).select(F.col("node").alias("fp"), "component")
+    return cut(vertices.drop("root").join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _star_pairs(vertices: DataFrame, segments: list[Column]) -> DataFrame:
+    """Every vertex with the least of those that have a segment in common: as many pairs as segments, however large a group is."""
+    slots = vertices.select("fp", F.explode(F.array(*segments)).alias("slot"))
+    least = slots.groupBy("slot").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _ordered(slots.join(least, "slot").where("a <> fp").select("a", F.col("fp").alias("b")))
+
+
+def _ball_pairs(vertices: DataFrame, segments: list[Column], size: int) -> DataFrame:
+    """Pairs that come within two bits in a segment, but for those inside one large component.
+
+    Each vertex files the ball of radius one around each of its segments and
+    probes with the same ball, so that pairs two bits apart meet in the middle.
+    Members of large components, which the first pass has joined already, meet
+    small ones, and one another only in slots that two such components share.
+    """
+    masks = F.array(*[F.lit(m).cast("bigint") for m in ball(size, 1)])
+    sizes = vertices.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > _MEMBERS)
+    large = cut(vertices.join(sizes.select("root"), "root", "left_semi").select("fp", "root", "bits"))
+    filed = F.explode(F.concat(*[F.transform(masks, s.bitwiseXOR) for s in segments])).alias("slot")
+    rest = cut(vertices.join(large.select("fp"), "fp", "left_anti").select("fp", "bits"))
+    slots = rest.select("fp", filed)
+    x, y = slots.alias("x"), slots.alias("y")
+    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.fp") < F.col("y.fp")))
+    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    if not large.isEmpty():
+        wide = large.select("fp", "root", filed)
+        met = slots.join(wide.select("slot", F.col("fp").alias("b")), "slot").select(F.col("fp").alias("a"), "b")
+        shared = wide.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("slot")
+        crowd = cut(wide.join(shared, "slot"))
+        u, v = crowd.alias("u"), crowd.alias("v")
+        among = u.join(v, (F.col("u.slot") == F.col("v.slot")) & (F.col("u.root") < F.col("v.root")))
+        pairs = pairs.unionAll(met).unionAll(among.select(F.col("u.fp").alias("a"), F.col("v.fp").alias("b")))
+    return _ordered(pairs)
 
 
 def near_copy_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, recall: float = 0.95
 ) -> DataFrame:
     """``(id, fp, component_id, component_fp)`` of every row of ``docs``; ``fp`` is the key of its shingle set.
 
-    Components are those of the graph in which two texts are linked if the Jaccard
-    similarity of their shingle sets is ``percent`` hundredths or more; none is
-    missed. Similar sets meet under a shingle of both prefixes. There, each is
-    compared with the least first; whoever is then in another component than the
-    least is compared with all that are in another than itself. A pair left out
-    is in one component already, so a large group costs no square of its size.
+    Components are those of the graph that links two texts if the Jaccard
+    similarity of their sets of ``width``-word shingles is ``percent`` hundredths
+    or more. Candidates come from multi-index hashing over SimHash fingerprints
+    of these sets, as :func:`layout` sizes them: small Hamming balls within each
+    segment, then the complete distance. What is left is compared on the whole
+    sets, so that no dissimilar pair is ever linked. A pair just at the similarity
+    is found with probability ``recall``, closer ones nearly always. Two passes:
+    equal segments first, where each vertex meets the least one only; then balls.
 
     ``component_id`` is the smallest id, null if all are. Equal sets are one
-    vertex; texts without a word are equal.
+    vertex; texts without a word are equal, and null ones are such. Bytes that are
+    no UTF-8 are compared as they are. Repeated rows stay repeated. Other columns
+    are ignored. An empty table gives an empty result.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    own = own.select("id", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("h"), "text")
-    texts = own.select("h", "text")
-    common, ranks = _common_shingles(texts, width)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), text.cast("binary").alias("text"))
+    count, size, distance = layout(docs.count(), percent, recall)
+    words = -(-count // 2)
 
     def facts(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         return {
             "fp": pa.array([set_key(s) for s in sets], pa.int64()),
             "n": pa.array([len(s) for s in sets], pa.int64()),
-            "sketch": _lists([_sketch(s) for s in sets]),
-            "prefix": _lists([prefix(s, percent, common, ranks) for s in sets]),
+            "bits": _lists([wide_fingerprint(s, words) for s in sets]),
         }
 
-    marks = cut(_mapped(own, width, "fp bigint, n bigint, sketch array<bigint>, prefix array<bigint>", facts))
-    first = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
-    whole = marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), *first)
-    whole = cut(whole)
-    vertices = whole.select("fp", "h", "n", "sketch")
-    meeting = Window.partitionBy("slot")
-    slots = whole.select("fp", F.explode("prefix").alias("slot"))
-    slots = slots.withColumn("least", F.min("fp").over(meeting)).withColumn("most", F.max("fp").over(meeting))
-    slots = cut(slots.where("least < most"))
-    stars = slots.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    links = _verified(stars, vertices, texts, width, percent)
-    labels = connected_components(links)
-    told = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
-    placed = slots.select("slot", "fp", "least").join(told("fp", "c"), "fp", "left").join(told("least", "k"), "least", "left")
-    placed = cut(placed.select("slot", "fp", F.coalesce("c", "fp").alias("c"), F.coalesce("k", "least").alias("k")))
-    apart = placed.where("c <> k").select("slot", F.col("fp").alias("a"), F.col("c").alias("ca"))
-    open_pairs = apart.join(placed.select("slot", F.col("fp").alias("b"), F.col("c").alias("cb")), "slot").where("ca <> cb")
-    open_pairs = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = open_pairs.join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(tried, vertices, texts, width, percent))
-    labels = connected_components(links).select(F.col("node").alias("fp"), "component")
-    rooted = cut(whole.select("fp", "least_id").join(labels, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
+    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>", facts))
+    whole = marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    whole = cut(whole.withColumn("root", F.col("fp")))
+    segments, texts, links = _segments(count, size), own.select("h", "text"), None
+    for pairs in (lambda v: _star_pairs(v, segments), lambda v: _ball_pairs(v, segments, size)):
+        possible = _possible(pairs(whole.where("n > 0")), whole, distance, percent)
+        more = _similar(possible, whole, texts, width, percent)
+        links = more if links is None else links.unionByName(more)
+        whole = _rooted(whole, links)
+    classes = with_least_id(whole.select("fp", "root", "least_id"))
     return marks.select("id", "fp").join(classes, "fp").select("id", "fp", "component_id", "component_fp")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, recall: float = 0.95
+) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_copy_groups`, as :func:`strata.llm.simhash.keep_one` chooses."""
-    groups = cut(near_copy_groups(docs, id_col, text_col, width, percent))
+    groups = cut(near_copy_groups(docs, id_col, text_col, width, percent, recall))
     return keep_one(docs, groups, lambda df, keep, text: with_set_keys(df, keep, text, width), id_col, text_col)

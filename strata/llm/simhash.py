@@ -12,23 +12,33 @@ from pyspark.sql import functions as F
 
 from strata.llm.arrow import BATCH_ROWS
 from strata.operators.graph import connected_components
-from strata.session import cut
+from strata.session import cut, small
 
 BITS = 64
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of one text.
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned 64-bit ``hashes`` have each bit set, the lowest first."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+        counts += np.add.reduce(np.unpackbits(octets, axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+    return counts
+
+
+def fingerprint(text: bytes | str | None, width: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash of one text, as such or in UTF-8.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. A bit is
     set if it is set in more than half of the XXH64 values of the shingles,
     repeats counted. Fewer words than ``width`` make one shingle; no word, or a
-    null text, gives 0.
+    null text, gives 0. Bytes that are no UTF-8 are hashed as they are.
     """
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    words = raw.lower().split() if raw else []
     if not words:
         return 0
     width = min(width, len(words))
@@ -42,8 +52,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, total, _CHUNK):
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)]
-        octets = np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
-        counts += np.add.reduce(np.unpackbits(octets, axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+        counts += bit_counts(np.array(hashes, dtype=np.uint64))
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
@@ -62,7 +71,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values.view(np.int64))], names=[*keep, "fp"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
     return source.mapInArrow(run, f"{fields}, fp bigint")
 
@@ -95,16 +104,27 @@ def ball(size: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(size), r)]
 
 
-def hamming_links(fingerprints: DataFrame, distance: int = 4, parts: int = 3) -> DataFrame:
+def best_parts(distance: int, values: int) -> int:
+    """The number of segments with the least work for each of ``values`` fingerprints: its probes, and what they meet by chance."""
+
+    def work(parts: int) -> float:
+        sizes = [size for _, size in segments(parts)]
+        return sum(len(ball(size, r)) * (1 + values / 2**size) for size, r in zip(sizes, radii(distance, parts), strict=True))
+
+    return min(range(2, max(3, distance + 1)), key=work)
+
+
+def hamming_links(fingerprints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct fingerprints at most ``distance`` bits apart.
 
     ``fingerprints`` has one column ``fp`` without repeats. Each value files itself
     once per segment under ``(segment, value)`` and probes every value in the ball
     around it; complete distances are verified inside the join, so that only links
     leave it. A pair that several segments find appears once. No candidate is
-    capped: ``radii`` makes the search exact. Three segments of 21 bits suit up to
-    some 10**8 distinct values; two of 32 bits suit more.
+    capped: ``radii`` makes the search exact. :func:`best_parts` sets ``parts`` by
+    the number of values: more and narrower segments for few, two for billions.
     """
+    parts = parts or best_parts(distance, fingerprints.count())
 
     def key(value: Column, segment: int, low: int, size: int) -> Column:
         part = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << size) - 1))
@@ -131,7 +151,7 @@ def simhash_groups(
     text_col: str = "text",
     width: int = 4,
     distance: int = 4,
-    parts: int = 3,
+    parts: int | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` with its fingerprint and near-duplicate component.
 
@@ -157,11 +177,23 @@ def simhash_groups(
         .join(degree, "fp", "left")
         .select("fp", "least_id", F.coalesce("component", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id", "n_links", F.col("root").alias("component_fp"))
+    classes = with_least_id(rooted)
     return marks.join(classes, "fp").select("id", "fp", "component_id", "n_links", "component_fp")
 
 
+def with_least_id(rooted: DataFrame) -> DataFrame:
+    """``rooted``, with a ``root`` and a ``least_id`` per vertex, with the root's least id as ``component_id``, the root as ``component_fp``.
+
+    Roots of one vertex have their own id, and the others' are summed up before
+    they meet the vertices, so that a root of a third of all vertices can be split.
+    """
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("vertices"))
+    least = cut(least.where("vertices > 1").select("root", F.struct("component_id").alias("c")))
+    met = rooted.join(small(least), "root", "left")
+    mine = F.when(F.col("c").isNull(), F.col("least_id")).otherwise(F.col("c.component_id"))
+    return met.withColumn("component_id", mine).withColumnRenamed("root", "component_fp").drop("c", "least_id")
+
+
 def fingerprint_hex(fp: Column) -> Column:
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
@@ -187,21 +219,23 @@ def keep_one(
     ``mark`` gives the kept columns and ``fp`` of rows whose id others share.
     """
     rows_per_id = groups.groupBy(F.col("id").alias("own_id")).agg(F.count("*").alias("rows"))
-    keepers = (
-        groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_fp", F.col("id").alias("keep_id"))
-        .agg(F.min("fp").alias("keep_fp"))
-    )
-    keepers = cut(keepers.join(rows_per_id, F.col("keep_id").eqNullSafe(F.col("own_id"))).select("keep_id", "keep_fp", "rows"))
+    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id")).distinct()
+    repeated = cut(rows_per_id.where("rows > 1").select(F.col("own_id").alias("repeated_id")))
+    gone = cut(gone.join(repeated, F.col("gone_id").eqNullSafe(F.col("repeated_id")), "left_anti"))
     names = [f"_{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     own = docs.toDF(*names)
-    same_id = F.col(key).eqNullSafe(F.col("keep_id"))
-    once = own.join(keepers.where("rows = 1"), same_id).select(*names)
-    shared = keepers.where("rows > 1")
-    if not shared.isEmpty():
-        ids = shared.select("keep_id").distinct()
-        marked = mark(own.join(ids, same_id).select(*names), names, text)
-        kept = marked.join(shared, same_id & (F.col("fp") == F.col("keep_fp")))
+    once = own.join(small(gone), F.col(key).eqNullSafe(F.col("gone_id")), "left_anti")
+    if not repeated.isEmpty():
+        once = once.join(small(repeated), F.col(key).eqNullSafe(F.col("repeated_id")), "left_anti")
+        keepers = (
+            groups.where(F.col("id").eqNullSafe(F.col("component_id")))
+            .groupBy("component_fp", F.col("id").alias("keep_id"))
+            .agg(F.min("fp").alias("keep_fp"))
+        )
+        shared = cut(keepers.join(repeated, F.col("keep_id").eqNullSafe(F.col("repeated_id"))).select("keep_id", "keep_fp"))
+        ids = small(shared.select("keep_id").distinct())
+        marked = mark(own.join(ids, F.col(key).eqNullSafe(F.col("keep_id"))).select(*names), names, text)
+        kept = marked.join(shared, F.col(key).eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
         once = once.unionByName(kept.dropDuplicates([key, "fp"]).select(*names))
     return once.toDF(*docs.columns)

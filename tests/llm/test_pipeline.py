@@ -1,5 +1,5 @@
 import corpus_pipeline
-from strata.llm import length_buckets, line_spread, secrets, simhash
+from strata.llm import length_buckets, line_spread, near_copies, secrets
 
 
 def test_stages_and_whole_run(spark):
@@ -12,7 +12,7 @@ def test_stages_and_whole_run(spark):
     assert sum((i in kept) == (q == 1) for i, q in labels.items()) >= 0.9 * len(labels)  # some 60 positives train it here
     rows = good.collect()
     copy = spark.createDataFrame(rows, docs.schema)
-    by_hand = length_buckets.pack_by_length(secrets.redact_secrets(simhash.drop_near_duplicates(line_spread.remove_spread_lines(copy))))
+    by_hand = length_buckets.pack_by_length(secrets.redact_secrets(near_copies.drop_near_copies(line_spread.remove_spread_lines(copy, max_loss=None))))
     run = corpus_pipeline.run(spark, sf)
     assert sorted((r.doc_id, r.n_tokens) for r in run.collect()) == sorted((r.doc_id, r.n_tokens) for r in by_hand.collect())
     for _, stage in corpus_pipeline.STAGES[:-1]:
