@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.arrow import BATCH_ROWS
-from strata.llm.simhash import ball, bit_counts, keep_one, with_least_id
+from strata.llm.simhash import bit_counts, keep_one, with_least_id
 from strata.operators.graph import connected_components
 from strata.session import cut, small
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so that every word of a fingerprint mixes the shingles anew
+_WEAK = 4  # bits of a segment that its ball flips
+_SKETCH_BITS = 1024
 _MEMBERS = 64  # larger components of the first pass don't meet themselves in the second
 
 
@@ -50,37 +52,67 @@ def differing(percent: int) -> float:
     return math.acos(2 * percent / (100 + percent)) / math.pi
 
 
-def within(size: int, chance: float, most: int) -> float:
-    """The chance that at most ``most`` of ``size`` bits differ."""
-    return sum(math.comb(size, i) * chance**i * (1 - chance) ** (size - i) for i in range(most + 1))
+def meeting(size: int, percent: int, samples: int = 20_000) -> float:
+    """The chance that two sets at exactly the similarity meet in one segment, by simulation with a fixed seed.
+
+    A bit is the sign of a sum over the set, normal with the cosine as correlation.
+    Two segments meet if they are equal, or after each side has flipped at most one
+    of its ``_WEAK`` bits with the sums nearest to zero.
+    """
+    rng, cosine = np.random.default_rng(7), 2 * percent / (100 + percent)
+    one = rng.standard_normal((samples, size))
+    two = cosine * one + math.sqrt(1 - cosine**2) * rng.standard_normal((samples, size))
+    flips = (one > 0) != (two > 0)
+    weak = []
+    for sums in (one, two):
+        mask = np.zeros_like(flips)
+        np.put_along_axis(mask, np.argsort(np.abs(sums), axis=1)[:, :_WEAK], True, 1)
+        weak.append(flips & mask)
+    count, (mine, yours) = flips.sum(1), weak
+    either = (mine | yours).sum(1)
+    met = (count == 0) | (count == 1) & (either == 1) | (count == 2) & (either == 2) & mine.any(1) & yours.any(1)
+    return float(met.mean())
 
 
 def layout(rows: int, percent: int, recall: float) -> tuple[int, int, int]:
     """``(segments, bits of each, most differing bits of a fingerprint)`` for so many rows.
 
-    A segment has five bits more than the rows need, so that chance meetings stay
+    A segment has two bits more than the rows need, so that chance meetings stay
     a few per row and segment at any size. There are as many segments as a pair
-    just at the similarity needs to come within two bits in one of them with
-    probability ``recall``; the whole fingerprint may differ by three standard
-    deviations more than such a pair's does on average.
+    just at the similarity needs to meet in one of them with probability
+    ``recall``; the whole fingerprint may differ by three standard deviations more
+    than such a pair's does on average.
     """
-    size = min(32, max(16, math.ceil(math.log2(max(2, rows))) + 5))
+    size = min(32, max(16, math.ceil(math.log2(max(2, rows))) + 2))
     chance = differing(percent)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - within(size, chance, 2)))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - meeting(size, percent)))
     bits = 64 * -(-count // 2)
     return count, size, math.ceil(bits * chance + 3 * math.sqrt(bits * chance * (1 - chance)))
 
 
-def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
-    """``words`` 64-bit SimHash words, each over another mix of the shingles' hashes."""
-    out = np.zeros(words, dtype=np.int64)
+def wide_fingerprint(shingles: np.ndarray, words: int, size: int) -> np.ndarray:
+    """``words`` 64-bit SimHash words, each over another mix of the shingles' hashes, then ``_WEAK`` masks for each word.
+
+    Each mask has one bit in either half word: of its lowest ``size`` bits the one
+    whose count is nearest to a half, then the next.
+    """
+    bits, weak = np.zeros(words, dtype=np.int64), np.zeros((_WEAK, words), dtype=np.int64)
     for k in range(words):
         mixed = shingles + np.uint64(_STEP * (k + 1) % 2**64)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
         mixed ^= mixed >> np.uint64(33)
-        out[k] = np.packbits(bit_counts(mixed) * 2 > len(shingles), bitorder="little").view(np.int64)[0]
-    return out
+        lead = bit_counts(mixed) * 2 - len(shingles)
+        bits[k] = np.packbits(lead > 0, bitorder="little").view(np.int64)[0]
+        nearest = np.argsort(np.abs(lead).reshape(2, 32)[:, :size], axis=1, kind="stable")[:, :_WEAK]
+        weak[:, k] = (1 << nearest[0]) | (1 << nearest[1]) << 32
+    return np.concatenate([bits, weak.ravel()])
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their top bits: sets differ by no fewer elements than their sketches by bits."""
+    parity = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -110,30 +142,44 @@ def with_set_keys(docs: DataFrame, keep: list[str], text_col: str, width: int) -
     return _mapped(source, width, "fp bigint", lambda sets: {"fp": pa.array([set_key(s) for s in sets], pa.int64())})
 
 
-def _segments(count: int, size: int) -> list[Column]:
-    """The segments of ``bits``: two to a word, the lower ``size`` bits of each half; the segment's number above."""
+def _segments(count: int, size: int, words: int) -> list[list[Column]]:
+    """Each segment's value, and what flipping one of its weak bits gives; the segment's number stands above.
+
+    Two segments to a word: the lower ``size`` bits of each half.
+    """
     mask = F.lit((1 << size) - 1).cast("bigint")
-    half = lambda i: F.shiftrightunsigned(F.get("bits", F.lit(i // 2)), 32 * (i % 2))
-    return [half(i).bitwiseAND(mask).bitwiseOR(F.lit(i << 40).cast("bigint")) for i in range(count)]
+    half = lambda i, at: F.shiftrightunsigned(F.get("bits", F.lit(at)), 32 * (i % 2)).bitwiseAND(mask)
+    out = []
+    for i in range(count):
+        own = half(i, i // 2).bitwiseOR(F.lit(i << 40).cast("bigint"))
+        out.append([own, *[own.bitwiseXOR(half(i, words * (j + 1) + i // 2)) for j in range(_WEAK)]])
+    return out
 
 
-def _possible(pairs: DataFrame, vertices: DataFrame, distance: int, percent: int) -> DataFrame:
-    """Pairs whose complete distance and sizes leave the similarity possible, and that no link has joined yet."""
-    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+def _bits_apart(one: str, two: str, first: int, words: int) -> Column:
+    differ = [F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(first, first + words)]
+    return sum(differ[1:], differ[0])
+
+
+def _possible(pairs: DataFrame, vertices: DataFrame, words: int, distance: int, percent: int) -> DataFrame:
+    """Pairs whose complete distance, sizes and sketches leave the similarity possible, and that no link has joined yet."""
     x, y = vertices.alias("x"), vertices.alias("y")
-    met = pairs.join(x, F.col("a") == F.col("x.fp")).join(
-        y, (F.col("b") == F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= distance)
+    both = F.col("x.n") + F.col("y.n")
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    near = _bits_apart("x.bits", "y.bits", 0, words) <= distance
+    overlap = (100 + percent) * (both - _bits_apart("x.sketch", "y.sketch", 0, _SKETCH_BITS // 64)) >= 2 * percent * both
+    met = pairs.join(x, F.col("a") == F.col("x.v")).join(
+        y, (F.col("b") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & sized & near & overlap
     )
     return cut(met.select("a", "b"))
 
 
 def _similar(possible: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``(a, b)``, keys of sets, whose Jaccard similarity is ``percent`` hundredths or more: whole sets are compared."""
-    asked = possible.select(F.col("a").alias("fp")).unionAll(possible.select(F.col("b").alias("fp"))).distinct()
-    wanted = cut(asked.join(vertices, "fp").select("fp", F.col("h").alias("wanted")))
-    found = texts.join(small(wanted), F.col("h") == F.col("wanted")).select("fp", "text")
-    sets = _mapped(found, width, "s array<bigint>", lambda sets: {"s": _lists(sets)}).dropDuplicates(["fp"])
+    """Those of ``(a, b)``, numbers of sets, whose Jaccard similarity is ``percent`` hundredths or more: whole sets are compared."""
+    asked = possible.select(F.col("a").alias("v")).unionAll(possible.select(F.col("b").alias("v"))).distinct()
+    wanted = cut(asked.join(vertices, "v").select("v", F.col("h").alias("wanted")))
+    found = texts.join(small(wanted), F.col("h") == F.col("wanted")).select("v", "text")
+    sets = _mapped(found, width, "s array<bigint>", lambda sets: {"s": _lists(sets)}).dropDuplicates(["v"])
     sets = cut(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,56 +191,72 @@ def _similar(possible: DataFrame, vertices: DataFrame, texts: DataFrame, width:
                 near.append((100 + percent) * shared >= percent * (len(one) + len(two)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    ones = possible.join(sets.select(F.col("fp").alias("a"), "s"), "a")
-    both = ones.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
+    ones = possible.join(sets.select(F.col("v").alias("a"), "s"), "a")
+    both = ones.join(sets.select(F.col("v").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
     return cut(both.mapInArrow(run, "a bigint, b bigint"))
 
 
 def _rooted(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """``vertices`` with ``root``, the least vertex of their component."""
-    labels = connected_components(links).select(F.col("node").alias("fp"), "component")
-    return cut(vertices.drop("root").join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"))
+    labels = connected_components(links).select(F.col("node").alias("v"), "component")
+    return cut(vertices.drop("root").join(labels, "v", "left").withColumn("root", F.coalesce("component", "v")).drop("component"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _star_pairs(vertices: DataFrame, segments: list[Column]) -> DataFrame:
-    """Every vertex with the least of those that have a segment in common: as many pairs as segments, however large a group is."""
-    slots = vertices.select("fp", F.explode(F.array(*segments)).alias("slot"))
-    least = slots.groupBy("slot").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return _ordered(slots.join(least, "slot").where("a <> fp").select("a", F.col("fp").alias("b")))
+def _star_pairs(vertices: DataFrame, segments: list[list[Column]]) -> DataFrame:
+    """Every vertex with one of those that have a segment in common: as many pairs as segments, however large a group is.
+
+    The one is the first in an order that differs from segment to segment, so that
+    a large group gets several centres.
+    """
+    slots = vertices.select("v", F.explode(F.array(*[s[0] for s in segments])).alias("slot"))
+    order = F.struct(F.xxhash64("v", F.shiftright("slot", 40)), "v")
+    first = slots.groupBy("slot").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("slot", F.col("first.v").alias("a"))
+    return _ordered(slots.join(first, "slot").where("a <> v").select("a", F.col("v").alias("b")))
 
 
-def _ball_pairs(vertices: DataFrame, segments: list[Column], size: int) -> DataFrame:
-    """Pairs that come within two bits in a segment, but for those inside one large component.
+def _ball_pairs(vertices: DataFrame, segments: list[list[Column]]) -> DataFrame:
+    """Pairs that meet in the balls around a segment, but for those inside one large component.
 
-    Each vertex files the ball of radius one around each of its segments and
-    probes with the same ball, so that pairs two bits apart meet in the middle.
+    Each vertex files itself under its segment's value and those one weak bit away,
+    and probes with the same, so that pairs two bits apart meet in the middle.
     Members of large components, which the first pass has joined already, meet
     small ones, and one another only in slots that two such components share.
     """
-    masks = F.array(*[F.lit(m).cast("bigint") for m in ball(size, 1)])
     sizes = vertices.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > _MEMBERS)
-    large = cut(vertices.join(sizes.select("root"), "root", "left_semi").select("fp", "root", "bits"))
-    filed = F.explode(F.concat(*[F.transform(masks, s.bitwiseXOR) for s in segments])).alias("slot")
-    rest = cut(vertices.join(large.select("fp"), "fp", "left_anti").select("fp", "bits"))
-    slots = rest.select("fp", filed)
+    large = cut(vertices.join(sizes.select("root"), "root", "left_semi").select("v", "root", "bits"))
+    filed = F.explode(F.array(*[k for s in segments for k in s])).alias("slot")
+    rest = cut(vertices.join(small(large.select("v")), "v", "left_anti").select("v", "bits"))
+    slots = rest.select("v", filed)
     x, y = slots.alias("x"), slots.alias("y")
-    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.fp") < F.col("y.fp")))
-    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.v") < F.col("y.v")))
+    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     if not large.isEmpty():
-        wide = large.select("fp", "root", filed)
-        met = slots.join(wide.select("slot", F.col("fp").alias("b")), "slot").select(F.col("fp").alias("a"), "b")
+        wide = large.select("v", "root", filed)
+        met = slots.join(wide.select("slot", F.col("v").alias("b")), "slot").select(F.col("v").alias("a"), "b")
         shared = wide.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("slot")
         crowd = cut(wide.join(shared, "slot"))
-        u, v = crowd.alias("u"), crowd.alias("v")
-        among = u.join(v, (F.col("u.slot") == F.col("v.slot")) & (F.col("u.root") < F.col("v.root")))
-        pairs = pairs.unionAll(met).unionAll(among.select(F.col("u.fp").alias("a"), F.col("v.fp").alias("b")))
+        p, q = crowd.alias("p"), crowd.alias("q")
+        among = p.join(q, (F.col("p.slot") == F.col("q.slot")) & (F.col("p.root") < F.col("q.root")))
+        pairs = pairs.unionAll(met).unionAll(among.select(F.col("p.v").alias("a"), F.col("q.v").alias("b")))
     return _ordered(pairs)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, cut, with a number ``v`` from 0 without gaps: short keys, that a shuffle packs well."""
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    counted = rows.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a number for each partition
+    offsets, before = [0] * (1 + max((r["part"] for r in counted), default=0)), 0
+    for r in sorted(counted, key=lambda r: r["part"]):
+        offsets[r["part"]], before = before, before + r["n"]
+    known = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+    inside = F.col("row").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    return rows.withColumn("v", F.get(known, F.shiftright("row", 33).cast("int")) + inside).drop("row")
+
+
 def near_copy_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, recall: float = 0.95
 ) -> DataFrame:
@@ -204,15 +266,17 @@ def near_copy_groups(
     similarity of their sets of ``width``-word shingles is ``percent`` hundredths
     or more. Candidates come from multi-index hashing over SimHash fingerprints
     of these sets, as :func:`layout` sizes them: small Hamming balls within each
-    segment, then the complete distance. What is left is compared on the whole
-    sets, so that no dissimilar pair is ever linked. A pair just at the similarity
-    is found with probability ``recall``, closer ones nearly always. Two passes:
-    equal segments first, where each vertex meets the least one only; then balls.
-
-    ``component_id`` is the smallest id, null if all are. Equal sets are one
-    vertex; texts without a word are equal, and null ones are such. Bytes that are
-    no UTF-8 are compared as they are. Repeated rows stay repeated. Other columns
-    are ignored. An empty table gives an empty result.
+    segment, over the bits likeliest to differ, then the complete distance. What
+    is left is compared on the whole sets, so that no dissimilar pair is ever
+    linked. A pair just at the similarity is found with probability ``recall``,
+    closer ones nearly always. Two passes: equal segments first, where each vertex
+    meets one other only; then balls.
+
+    ``component_id`` is the smallest id, null if all are; ``component_fp`` numbers
+    the component. Equal sets are one vertex; texts without a word are equal, and
+    null ones are such. Bytes that are no UTF-8 are compared as they are. Repeated
+    rows stay repeated. Other columns are ignored. An empty table gives an empty
+    result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), text.cast("binary").alias("text"))
@@ -223,15 +287,16 @@ def near_copy_groups(
         return {
             "fp": pa.array([set_key(s) for s in sets], pa.int64()),
             "n": pa.array([len(s) for s in sets], pa.int64()),
-            "bits": _lists([wide_fingerprint(s, words) for s in sets]),
+            "bits": _lists([wide_fingerprint(s, words, size) for s in sets]),
+            "sketch": _lists([_sketch(s) for s in sets]),
         }
 
-    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>", facts))
-    whole = marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    whole = cut(whole.withColumn("root", F.col("fp")))
-    segments, texts, links = _segments(count, size), own.select("h", "text"), None
-    for pairs in (lambda v: _star_pairs(v, segments), lambda v: _ball_pairs(v, segments, size)):
-        possible = _possible(pairs(whole.where("n > 0")), whole, distance, percent)
+    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>, sketch array<bigint>", facts))
+    first = [F.first(c).alias(c) for c in ("n", "bits", "sketch")]
+    whole = _numbered(marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), *first)).withColumn("root", F.col("v"))
+    segments, texts, links = _segments(count, size, words), own.select("h", "text"), None
+    for pairs in (_star_pairs, _ball_pairs):
+        possible = _possible(pairs(whole.where("n > 0"), segments), whole, words, distance, percent)
         more = _similar(possible, whole, texts, width, percent)
         links = more if links is None else links.unionByName(more)
         whole = _rooted(whole, links)
