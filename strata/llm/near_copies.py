@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.llm.arrow import BATCH_ROWS
 from strata.llm.simhash import bit_counts, keep_one, with_least_id
 from strata.operators.graph import connected_components
-from strata.session import cut, small
+from strata.session import cut, small, stored
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so that every word of a fingerprint mixes the shingles anew
 _WEAK = 4  # bits of a segment that its ball flips
@@ -90,23 +90,29 @@ def layout(rows: int, percent: int, recall: float) -> tuple[int, int, int]:
     return count, size, math.ceil(bits * chance + 3 * math.sqrt(bits * chance * (1 - chance)))
 
 
-def wide_fingerprint(shingles: np.ndarray, words: int, size: int) -> np.ndarray:
-    """``words`` 64-bit SimHash words, each over another mix of the shingles' hashes, then ``_WEAK`` masks for each word.
+def wide_fingerprint(shingles: np.ndarray, segments: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit SimHash words, each over another mix of the shingles' hashes, and the slots of their segments' balls.
 
-    Each mask has one bit in either half word: of its lowest ``size`` bits the one
-    whose count is nearest to a half, then the next.
+    Two segments to a word: the lower ``size`` bits of each half. A ball is the
+    segment's value, then what flipping one of its weak bits gives: the one whose
+    count is nearest to a half, then the next. The segment's number stands above.
     """
-    bits, weak = np.zeros(words, dtype=np.int64), np.zeros((_WEAK, words), dtype=np.int64)
+    words = -(-segments // 2)
+    bits, slots = np.zeros(words, dtype=np.int64), np.zeros((2 * words, 1 + _WEAK), dtype=np.int64)
     for k in range(words):
         mixed = shingles + np.uint64(_STEP * (k + 1) % 2**64)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
         mixed ^= mixed >> np.uint64(33)
         lead = bit_counts(mixed) * 2 - len(shingles)
-        bits[k] = np.packbits(lead > 0, bitorder="little").view(np.int64)[0]
-        nearest = np.argsort(np.abs(lead).reshape(2, 32)[:, :size], axis=1, kind="stable")[:, :_WEAK]
-        weak[:, k] = (1 << nearest[0]) | (1 << nearest[1]) << 32
-    return np.concatenate([bits, weak.ravel()])
+        octets = np.packbits(lead > 0, bitorder="little")
+        bits[k] = octets.view(np.int64)[0]
+        weak = np.argsort(np.abs(lead).reshape(2, 32)[:, :size], axis=1, kind="stable")[:, :_WEAK]
+        own = octets.view(np.uint32).astype(np.int64) & ((1 << size) - 1)
+        slots[2 * k : 2 * k + 2] = own[:, None]
+        slots[2 * k : 2 * k + 2, 1:] ^= 1 << weak
+    slots |= np.arange(2 * words)[:, None] << 40
+    return bits, slots[:segments].ravel()
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
@@ -142,32 +148,33 @@ def with_set_keys(docs: DataFrame, keep: list[str], text_col: str, width: int) -
     return _mapped(source, width, "fp bigint", lambda sets: {"fp": pa.array([set_key(s) for s in sets], pa.int64())})
 
 
-def _segments(count: int, size: int, words: int) -> list[list[Column]]:
-    """Each segment's value, and what flipping one of its weak bits gives; the segment's number stands above.
+def _filed(vertices: DataFrame, words: int, *columns: str) -> DataFrame:
+    """``(v, *columns, slot, word)``: a row for each slot, with a word of the fingerprint that other segments make up."""
+    each = vertices.select("v", *columns, "bits", F.posexplode("slots").alias("at", "slot"))
+    beside = F.expr(f"(at div {2 * (1 + _WEAK)} + 1) % {words}").cast("int")
+    return each.select("v", *columns, "slot", F.get("bits", beside).alias("word"))
 
-    Two segments to a word: the lower ``size`` bits of each half.
-    """
-    mask = F.lit((1 << size) - 1).cast("bigint")
-    half = lambda i, at: F.shiftrightunsigned(F.get("bits", F.lit(at)), 32 * (i % 2)).bitwiseAND(mask)
-    out = []
-    for i in range(count):
-        own = half(i, i // 2).bitwiseOR(F.lit(i << 40).cast("bigint"))
-        out.append([own, *[own.bitwiseXOR(half(i, words * (j + 1) + i // 2)) for j in range(_WEAK)]])
-    return out
+
+def _close(one: str, two: str, percent: int) -> Column:
+    """Whether one word leaves the similarity possible: as the complete distance does, and cheap where vertices meet."""
+    chance = differing(percent)
+    most = math.ceil(64 * chance + 3.5 * math.sqrt(64 * chance * (1 - chance)))
+    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= most
 
 
-def _bits_apart(one: str, two: str, first: int, words: int) -> Column:
-    differ = [F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(first, first + words)]
+def _bits_apart(one: str, two: str, words: int) -> Column:
+    differ = [F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(words)]
     return sum(differ[1:], differ[0])
 
 
-def _possible(pairs: DataFrame, vertices: DataFrame, words: int, distance: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, vertices: DataFrame, roots: DataFrame | None, words: int, distance: int, percent: int) -> DataFrame:
     """Pairs whose complete distance, sizes and sketches leave the similarity possible, and that no link has joined yet."""
-    x, y = vertices.alias("x"), vertices.alias("y")
+    marks = _with_root(vertices.select("v", "n", "bits", "sketch"), roots)
+    x, y = marks.alias("x"), marks.alias("y")
     both = F.col("x.n") + F.col("y.n")
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    near = _bits_apart("x.bits", "y.bits", 0, words) <= distance
-    overlap = (100 + percent) * (both - _bits_apart("x.sketch", "y.sketch", 0, _SKETCH_BITS // 64)) >= 2 * percent * both
+    near = _bits_apart("x.bits", "y.bits", words) <= distance
+    overlap = (100 + percent) * (both - _bits_apart("x.sketch", "y.sketch", _SKETCH_BITS // 64)) >= 2 * percent * both
     met = pairs.join(x, F.col("a") == F.col("x.v")).join(
         y, (F.col("b") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & sized & near & overlap
     )
@@ -196,29 +203,38 @@ def _similar(possible: DataFrame, vertices: DataFrame, texts: DataFrame, width:
     return cut(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _rooted(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """``vertices`` with ``root``, the least vertex of their component."""
-    labels = connected_components(links).select(F.col("node").alias("v"), "component")
-    return cut(vertices.drop("root").join(labels, "v", "left").withColumn("root", F.coalesce("component", "v")).drop("component"))
+def _roots(links: DataFrame) -> DataFrame:
+    """``(v, root)`` of the vertices that have a link: ``root`` is the least of their component."""
+    return cut(connected_components(links).select(F.col("node").alias("v"), F.col("component").alias("root")))
+
+
+def _with_root(vertices: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return vertices.withColumn("root", F.col("v"))
+    return vertices.join(small(roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _star_pairs(vertices: DataFrame, segments: list[list[Column]]) -> DataFrame:
+def _star_pairs(vertices: DataFrame, words: int, percent: int) -> DataFrame:
     """Every vertex with one of those that have a segment in common: as many pairs as segments, however large a group is.
 
     The one is the first in an order that differs from segment to segment, so that
     a large group gets several centres.
     """
-    slots = vertices.select("v", F.explode(F.array(*[s[0] for s in segments])).alias("slot"))
-    order = F.struct(F.xxhash64("v", F.shiftright("slot", 40)), "v")
-    first = slots.groupBy("slot").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("slot", F.col("first.v").alias("a"))
-    return _ordered(slots.join(first, "slot").where("a <> v").select("a", F.col("v").alias("b")))
+    own = F.filter("slots", lambda _, at: at % (1 + _WEAK) == 0)
+    word = lambda at: F.get("bits", (F.floor(at / 2).cast("int") + 1) % words)
+    slots = vertices.select("v", "bits", F.posexplode(own).alias("at", "slot")).select("v", "slot", word(F.col("at")).alias("word"))
+    order = F.struct(F.xxhash64("v", F.shiftright("slot", 40)), "v", "word")
+    first = slots.groupBy("slot").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("slot", F.col("first.v").alias("a"), F.col("first.word").alias("other"))
+    met = slots.join(first, "slot").where((F.col("a") != F.col("v")) & _close("word", "other", percent))
+    return _ordered(met.select("a", F.col("v").alias("b")))
 
 
-def _ball_pairs(vertices: DataFrame, segments: list[list[Column]]) -> DataFrame:
+def _ball_pairs(vertices: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs that meet in the balls around a segment, but for those inside one large component.
 
     Each vertex files itself under its segment's value and those one weak bit away,
@@ -226,22 +242,22 @@ def _ball_pairs(vertices: DataFrame, segments: list[list[Column]]) -> DataFrame:
     Members of large components, which the first pass has joined already, meet
     small ones, and one another only in slots that two such components share.
     """
-    sizes = vertices.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > _MEMBERS)
-    large = cut(vertices.join(sizes.select("root"), "root", "left_semi").select("v", "root", "bits"))
-    filed = F.explode(F.array(*[k for s in segments for k in s])).alias("slot")
-    rest = cut(vertices.join(small(large.select("v")), "v", "left_anti").select("v", "bits"))
-    slots = rest.select("v", filed)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > _MEMBERS)
+    large = cut(roots.join(sizes.select("root"), "root", "left_semi").select("v", "root"))
+    slots = stored(_filed(vertices.join(small(large.select("v")), "v", "left_anti"), words), "slots")
+    near = _close("x.word", "y.word", percent)
     x, y = slots.alias("x"), slots.alias("y")
-    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.v") < F.col("y.v")))
+    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.v") < F.col("y.v")) & near)
     pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     if not large.isEmpty():
-        wide = large.select("v", "root", filed)
-        met = slots.join(wide.select("slot", F.col("v").alias("b")), "slot").select(F.col("v").alias("a"), "b")
+        wide = stored(_filed(vertices.join(small(large), "v"), words, "root"), "slots")
+        y = wide.alias("y")
+        met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & near).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
         shared = wide.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("slot")
         crowd = cut(wide.join(shared, "slot"))
-        p, q = crowd.alias("p"), crowd.alias("q")
-        among = p.join(q, (F.col("p.slot") == F.col("q.slot")) & (F.col("p.root") < F.col("q.root")))
-        pairs = pairs.unionAll(met).unionAll(among.select(F.col("p.v").alias("a"), F.col("q.v").alias("b")))
+        x, y = crowd.alias("x"), crowd.alias("y")
+        among = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.root") < F.col("y.root")) & near)
+        pairs = pairs.unionAll(met).unionAll(among.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
     return _ordered(pairs)
 
 
@@ -284,23 +300,25 @@ def near_copy_groups(
     words = -(-count // 2)
 
     def facts(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+        bits, slots = zip(*[wide_fingerprint(s, count, size) for s in sets], strict=True) if sets else ([], [])
         return {
             "fp": pa.array([set_key(s) for s in sets], pa.int64()),
             "n": pa.array([len(s) for s in sets], pa.int64()),
-            "bits": _lists([wide_fingerprint(s, words, size) for s in sets]),
+            "bits": _lists(list(bits)),
+            "slots": _lists(list(slots)),
             "sketch": _lists([_sketch(s) for s in sets]),
         }
 
-    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>, sketch array<bigint>", facts))
-    first = [F.first(c).alias(c) for c in ("n", "bits", "sketch")]
-    whole = _numbered(marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), *first)).withColumn("root", F.col("v"))
-    segments, texts, links = _segments(count, size, words), own.select("h", "text"), None
-    for pairs in (_star_pairs, _ball_pairs):
-        possible = _possible(pairs(whole.where("n > 0"), segments), whole, words, distance, percent)
-        more = _similar(possible, whole, texts, width, percent)
-        links = more if links is None else links.unionByName(more)
-        whole = _rooted(whole, links)
-    classes = with_least_id(whole.select("fp", "root", "least_id"))
+    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>, slots array<bigint>, sketch array<bigint>", facts))
+    first = [F.first(c).alias(c) for c in ("n", "bits", "slots", "sketch")]
+    whole = _numbered(marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), *first))
+    texts, some = own.select("h", "text"), whole.where("n > 0")
+    met = _possible(_star_pairs(some, words, percent), whole, None, words, distance, percent)
+    links = _similar(met, whole, texts, width, percent)
+    roots = _roots(links)
+    met = _possible(_ball_pairs(some, roots, words, percent), whole, roots, words, distance, percent)
+    roots = _roots(links.unionByName(_similar(met, whole, texts, width, percent)))
+    classes = with_least_id(cut(_with_root(whole.select("v", "fp", "least_id"), roots).select("fp", "least_id", "root")))
     return marks.select("id", "fp").join(classes, "fp").select("id", "fp", "component_id", "component_fp")
 
 
