@@ -1,6 +1,6 @@
 """DuckDB SQL for the pipeline operators that SQL can express."""
 
-from strata.llm import line_rules, secrets
+from strata.llm import line_rules
 
 SHARDS = """
 WITH b AS (
@@ -43,43 +43,67 @@ FROM f
 """
 
 
-def _steps(name: str, pattern: str, group: int) -> str:
+def _steps(name: str, pattern: str, group: int, source: str = "d", text: str = "text", key: str = "doc_id") -> str:
     """A table of the matches of ``pattern``: each with the gap before it, so that lengths give places."""
     whole = f"(?s)(.*?)(?:{pattern}|\\z)".replace("'", "''")
     return f"""
 {name}_raw AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '{whole}', 1)) AS gap, unnest(regexp_extract_all(text, '{whole}', 0)) AS part,
-    unnest(regexp_extract_all(text, '{whole}', {group})) AS v, generate_subscripts(regexp_extract_all(text, '{whole}', 0), 1) AS i
-  FROM d WHERE regexp_matches(text, '{pattern.replace("'", "''")}')),
+  SELECT {key}, unnest(regexp_extract_all({text}, '{whole}', 1)) AS gap, unnest(regexp_extract_all({text}, '{whole}', 0)) AS part,
+    unnest(regexp_extract_all({text}, '{whole}', {group})) AS v, generate_subscripts(regexp_extract_all({text}, '{whole}', 0), 1) AS i
+  FROM {source} WHERE regexp_matches({text}, '{pattern.replace("'", "''")}')),
 {name} AS (
-  SELECT doc_id, e - length(part) + length(gap) AS s, e, length(v) AS n, substr(part, length(gap) + 1) AS word FROM (
-    SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM {name}_raw) WHERE length(part) > length(gap))"""
+  SELECT {key}, (e - length(part) + length(gap))::BIGINT AS s, e, length(v) AS n, substr(part, length(gap) + 1) AS word FROM (
+    SELECT *, sum(length(part)) OVER (PARTITION BY {key} ORDER BY i)::BIGINT AS e FROM {name}_raw) WHERE length(part) > length(gap))"""
+
+
+def _blanked(name: str, source: str, text: str, key: str, spans: str) -> str:
+    """A table like ``source`` with spaces in its texts for what ``spans`` cover."""
+    return f"""
+{name}_hit AS (SELECT DISTINCT {key}, unnest(range(s + 1, e + 1)) AS i FROM {spans}),
+{name}_chars AS (
+  SELECT {key}, unnest(string_split({text}, '')) AS ch, generate_subscripts(string_split({text}, ''), 1) AS i
+  FROM {source} WHERE {key} IN (SELECT {key} FROM {spans})),
+{name}_rest AS (
+  SELECT {key}, string_agg(CASE WHEN h.i IS NULL THEN ch ELSE ' ' END, '' ORDER BY c.i) AS rest
+  FROM {name}_chars c LEFT JOIN {name}_hit h USING ({key}, i) GROUP BY {key}),
+{name} AS (SELECT x.* REPLACE (coalesce(rest, {text}) AS {text}) FROM {source} x LEFT JOIN {name}_rest USING ({key}))"""
 
 
 def _secrets() -> str:
-    rules = secrets.EntropyRules()
-    allowed = " OR ".join(f"regexp_matches(word, '{p}')" for p in rules.allowed)
+    # The SQL states patterns and limits itself, so that a wrong one in the operator shows.
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    allowed = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|dummy|placeholder|changeme|redacted|x{6}|0{8}|0123456789|abcdefghij)"
+    candidate = "[A-Za-z0-9+/_=-]{20,}"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-{_steps("assigned", secrets.ASSIGN, 2)},
-{_steps("access", secrets.ACCESS, 0)},
-{_steps("hexed", secrets.HEX, 0)},
-{_steps("strings", rules.candidate, 0)},
+{_steps("assigned", assign, 2)},
+{_steps("access", "AKIA[A-Z0-9]{16,}", 0)},
+{_steps("hexed", "[0-9a-f]{24,}", 0)},
 base AS (
   SELECT doc_id, s, 0 AS k, e FROM assigned WHERE n >= 6 UNION ALL SELECT doc_id, s, 1, e FROM access UNION ALL SELECT doc_id, s, 2, e FROM hexed),
+{_blanked("left_over", "d", "text", "doc_id", "base")},
+{_steps("strings", candidate, 0, "left_over")},
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, s) AS string_id FROM strings),
+{_steps("fine", allowed, 0, "numbered", "word", "string_id")},
+{_blanked("unfine", "numbered", "word", "string_id", "fine")},
+{_steps("parts", candidate, 0, "unfine", "word", "string_id")},
+pieces AS (SELECT n.doc_id, n.s + p.s AS s, n.s + p.e AS e, p.word FROM parts p JOIN numbered n USING (string_id)),
 classed AS (
   SELECT doc_id, s, e, word, CASE WHEN regexp_full_match(word, '[0-9a-fA-F]+') AND regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-fA-F]') THEN 'hex'
-    WHEN regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') THEN 'mixed' END AS class
-  FROM strings WHERE NOT ({allowed})),
-spots AS (SELECT *, unnest(range(1, length(word) - {rules.window} + 2)) AS place FROM classed WHERE class IS NOT NULL),
-chars AS (
-  SELECT doc_id, s, e, class, place, unnest(string_split(substr(CASE WHEN class = 'hex' THEN lower(word) ELSE word END, place, {rules.window}), '')) AS ch FROM spots),
-counts AS (SELECT doc_id, s, e, class, place, ch, count(*) AS c FROM chars GROUP BY ALL),
-weights AS (SELECT doc_id, s, e, class, place, sum(round(c * log2(c) * 1048576)) AS weight FROM counts GROUP BY ALL),
-dense AS (
-  SELECT doc_id, s, 3 AS k, e FROM weights GROUP BY doc_id, s, e, class
-  HAVING min(weight) <= CASE class WHEN 'hex' THEN {secrets._limit(rules.bits["hex"], rules.window)} ELSE {secrets._limit(rules.bits["mixed"], rules.window)} END),
-added AS (SELECT * FROM dense WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = dense.doc_id AND b.s < dense.e AND dense.s < b.e)),
+    WHEN regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') THEN 'mixed'
+    WHEN regexp_matches(word, '[0-9]') AND regexp_matches(word, '[a-zA-Z]') THEN 'single' END AS class
+  FROM pieces),
+judged AS (
+  SELECT doc_id, s, e, class, CASE class WHEN 'mixed' THEN word ELSE lower(word) END AS word FROM classed WHERE class IN ('hex', 'mixed') UNION ALL
+  SELECT doc_id, s, e, class, run FROM (SELECT *, unnest(regexp_split_to_array(lower(word), '[+/_=-]')) AS run FROM classed WHERE class = 'single')
+  WHERE length(run) >= 20 AND regexp_matches(run, '[0-9]') AND regexp_matches(run, '[a-z]')),
+runs AS (SELECT *, row_number() OVER (ORDER BY doc_id, s, word) AS run_id FROM judged),
+spots AS (SELECT *, unnest(range(1, length(word) - 20 + 2)) AS place FROM runs),
+chars AS (SELECT run_id, doc_id, s, e, class, place, unnest(string_split(substr(word, place, 20), '')) AS ch FROM spots),
+counts AS (SELECT run_id, doc_id, s, e, class, place, ch, count(*) AS c FROM chars GROUP BY ALL),
+windows AS (SELECT doc_id, s, e, class, log2(20) - sum(c * log2(c)) / 20 AS bits FROM counts GROUP BY run_id, doc_id, s, e, class, place),
+added AS (
+  SELECT DISTINCT doc_id, s, 3 AS k, e FROM windows WHERE bits >= CASE class WHEN 'hex' THEN 3.0 WHEN 'mixed' THEN 3.8 ELSE 3.5 END - 0.0000001),
 every AS (
   SELECT *, CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END || ':' || s || ':' || e AS span
   FROM (FROM base UNION ALL FROM added)),
