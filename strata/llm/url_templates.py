@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import cut
+from strata.session import cut, small
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,15 @@ class TemplateRules:
     """Limits of the template tree.
 
     A node's children are variable if there are ``min_children`` or more and they
-    number at least ``variable_share`` of the node's urls. Labelled branches with
-    ``min_labels`` or more labels merge if their block rate differs from their
-    siblings' by less than ``z`` standard errors. A template is rejected if its
-    block rate, smoothed by ``prior_weight`` urls of the overall rate, reaches
-    ``purity`` on ``min_labels`` or more labels.
+    number at least ``variable_share`` of the node's urls. Other children with
+    ``min_labels`` or more labels merge with those that are mostly blocked, or
+    mostly allowed like them, if their block rate is within ``z`` standard errors
+    of that group's. A template's purity is its block rate, smoothed by
+    ``prior_weight`` urls of its parent's purity; a host's parent is the overall
+    rate. On hosts with ``min_labels`` or more labels, templates whose purity
+    reaches ``purity`` are rejected.
     """
 
-    max_depth: int = 6
     min_children: int = 8
     variable_share: float = 0.3
     min_labels: int = 5
@@ -87,62 +88,71 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return best.cast("struct<n:int,blocks:int,text:string>")
 
 
-def shape(path: Column, max_depth: int) -> Column:
-    """The path's segments, numbers and long hexadecimal names generalised, what lies deeper than ``max_depth`` as one ``**``."""
-    parts = F.transform(
+def shape(path: Column) -> Column:
+    """The path's segments, numbers and long hexadecimal names generalised."""
+    return F.transform(
         F.split(F.regexp_replace(path, "^/", ""), "/"),
         lambda p: F.when(p.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(p, "^[0-9]+", "{n}"))
         .when(p.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}$"), "{h}")
         .otherwise(p),
     )
-    return F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
+
+
+def _smoothed(parent: Column, weight: float) -> Column:
+    return (F.col("bad") + weight * parent) / (F.col("bad") + F.col("good") + weight)
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "bad", "good")]
 
 
 def reject_templates(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
     """The shapes whose template is rejected: ``(host, shape, purity)``.
 
     ``shapes`` has one row ``(host, shape, n, bad, good)`` per host and shape. The
-    tree grows level by level: at each, the children of every node are counted,
-    variable ones become ``*``, statistically alike ones ``+``, and the others
-    stay; the new names are the next level's nodes. Only sums per child and per
-    node are shuffled, so that a host with a third of all pages is no hot key.
+    tree grows level by level, as deep as labels differ below a node: where all
+    agree, nothing further down could, and the node is a template. At each level
+    the children of every open node are counted; variable ones become ``*``,
+    statistically alike ones merge, the others stay. Branches without labels keep
+    their parent's purity. Only sums per child and per node are shuffled, so that
+    a host with a third of all pages is no hot key.
     """
-    tree = cut(shapes.withColumn("node", F.lit("")))
-    for depth in range(rules.max_depth + 1):
-        child = F.coalesce(F.get("shape", F.lit(depth)), F.lit("$"))
-        kids = tree.where(F.size("shape") > depth).withColumn("kid", child).groupBy("host", "node", "kid").agg(
-            *[F.sum(c).alias(c) for c in ("n", "bad", "good")]
-        )
-        nodes = kids.groupBy("host", "node").agg(
-            F.count("*").alias("kids"),
-            F.sum("n").alias("all_n"),
-            F.sum(F.when(F.col("bad") + F.col("good") >= rules.min_labels, F.col("bad")).otherwise(0)).alias("all_bad"),
-            F.sum(F.when(F.col("bad") + F.col("good") >= rules.min_labels, F.col("bad") + F.col("good")).otherwise(0)).alias("labels"),
-        )
-        own = F.col("bad") + F.col("good")
-        rest = F.col("labels") - own
-        pooled = F.col("all_bad") / F.nullif(F.col("labels"), F.lit(0))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(own, F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
-        gap = F.abs(F.col("bad") / F.nullif(own, F.lit(0)) - (F.col("all_bad") - F.col("bad")) / F.nullif(rest, F.lit(0)))
-        alike = (own >= rules.min_labels) & (rest > 0) & (gap <= rules.z * error)
+    overall = shapes.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    prior = (overall["bad"] or 0) / max(1, (overall["bad"] or 0) + (overall["good"] or 0))
+    weight, labels = rules.prior_weight, F.col("bad") + F.col("good")
+    hosts = shapes.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(labels >= rules.min_labels)
+    hosts = cut(hosts.select("host", _smoothed(F.lit(prior), weight).alias("purity"), ((F.col("bad") > 0) & (F.col("good") > 0)).alias("open")))
+    tree = cut(shapes.join(small(hosts), "host").withColumn("node", F.lit("")))
+    depth, closed = 0, tree.where("not open")
+    growing = tree.where("open")
+    while not growing.isEmpty():
+        end = F.lit("$")
+        at = growing.withColumn("kid", F.coalesce(F.concat(F.lit("="), F.get("shape", F.lit(depth))), end))
+        kids = cut(at.groupBy("host", "node", "purity", "kid").agg(*_sums()))
+        inner = kids.where("kid <> '$'")
+        nodes = inner.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"))
         variable = (F.col("kids") >= rules.min_children) & (F.col("kids") >= rules.variable_share * F.col("all_n"))
-        named = kids.join(nodes, ["host", "node"]).select(
-            "host", "node", "kid", F.when(variable, "*").when(alike, "+").otherwise(F.col("kid")).alias("name")
+        spread = nodes.where(variable).select("host", "node", F.lit(True).alias("variable"))
+        kids = kids.join(spread, ["host", "node"], "left").withColumn("side", F.col("bad") / F.nullif(labels, F.lit(0)) >= 0.5)
+        sided = kids.where((labels >= rules.min_labels) & F.col("variable").isNull() & (F.col("kid") != "$"))
+        groups = sided.groupBy("host", "node", "side").agg(F.sum("bad").alias("all_bad"), F.sum(labels).alias("all"))
+        rate, own = F.col("all_bad") / F.col("all"), F.col("bad") / F.nullif(labels, F.lit(0))
+        alike = (labels >= rules.min_labels) & (F.abs(own - rate) <= rules.z * F.sqrt(rate * (1 - rate) / labels) + 1e-12)
+        name = F.when(F.col("kid") == "$", "$").when(F.col("variable"), "*").when(alike, F.when(F.col("side"), "+b").otherwise("+g")).otherwise(F.col("kid"))
+        named = cut(kids.join(groups, ["host", "node", "side"], "left").withColumn("name", name))
+        below = named.groupBy("host", "node", "purity", "name").agg(*_sums())
+        mixed = (F.col("bad") > 0) & (F.col("good") > 0) & (F.col("name") != "$")
+        below = below.select("host", "node", "name", _smoothed(F.col("purity"), weight).alias("after"), mixed.alias("still"))
+        step = named.select("host", "node", "kid", "name").join(below, ["host", "node", "name"])
+        moved = at.drop("purity", "open").join(step, ["host", "node", "kid"])
+        moved = cut(
+            moved.select(
+                "host", "shape", "n", "bad", "good", F.col("after").alias("purity"), F.col("still").alias("open"), F.concat("node", F.lit("/"), "name").alias("node")
+            )
         )
-        grown = tree.withColumn("kid", F.when(F.size("shape") > depth, child)).join(named, ["host", "node", "kid"], "left")
-        step = F.when(F.col("name").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "name"))
-        tree = cut(grown.withColumn("node", step).select("host", "shape", "n", "bad", "good", "node"))
-    templates = tree.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    overall = tree.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-    prior = F.coalesce(F.col("all_bad") / F.nullif(F.col("all_bad") + F.col("all_good"), F.lit(0)), F.lit(0.0))
-    smoothed = (F.col("bad") + rules.prior_weight * prior) / (F.col("bad") + F.col("good") + rules.prior_weight)
-    rejected = (
-        templates.join(F.broadcast(overall))  # one row
-        .withColumn("purity", smoothed)
-        .where((F.col("purity") >= rules.purity) & (F.col("bad") + F.col("good") >= rules.min_labels))
-        .select("host", "node", "purity")
-    )
-    return tree.join(rejected, ["host", "node"]).select("host", "shape", "purity")
+        closed = closed.unionByName(moved.where("not open"))
+        growing, depth = moved.where("open"), depth + 1
+    return closed.where(F.col("purity") >= rules.purity).select("host", "shape", "purity")
 
 
 def filter_urls(
@@ -153,7 +163,8 @@ def filter_urls(
     Returns ``(id, host, path, rule, verdict, purity)``. The longest fitting rule
     decides; ``rule`` is its text. Urls that rules decide are the labelled ones.
     Others are blocked if their template on their host is rejected, with its
-    smoothed block rate as ``purity``, and allowed otherwise.
+    smoothed block rate as ``purity``, and allowed otherwise. Paths are judged
+    whole, however deep.
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule and
     no template, and are allowed. Null ids and repeated rows pass through; repeats
@@ -164,7 +175,7 @@ def filter_urls(
     host, path = host_and_path(F.col("url"))
     source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     parsed = source.select("id", host.alias("host"), path.alias("path")).withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
-    parsed = parsed.withColumn("shape", shape(F.col("path"), limits.max_depth))
+    parsed = parsed.withColumn("shape", shape(F.col("path")))
     shapes = parsed.where("host <> ''").groupBy("host", "shape").agg(
         F.count("*").alias("n"),
         F.sum(F.when(F.col("hit.blocks") == 1, 1).otherwise(0)).alias("bad"),
