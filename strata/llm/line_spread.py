@@ -84,14 +84,15 @@ def remove_spread_lines(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 10,
-    max_loss: float | None = 0.5,
+    max_loss: float | None = None,
 ) -> DataFrame:
     """``docs`` without the lines that stand on ``min_sites`` or more distinct sites.
 
-    All rows and columns stay; only texts change. A document that would lose more
-    than ``max_loss`` of its characters is a copy made of spread lines rather than
-    a page with boilerplate: it stays whole, for near-duplicate removal to judge.
-    If ``max_loss`` is None, only documents without any other visible line do.
+    All rows and columns stay; only texts change. A document without any other
+    visible line is a copy made of spread lines rather than a page with
+    boilerplate: it stays whole, for near-duplicate removal to judge. With
+    ``max_loss``, so does one that would lose more than that share of its
+    characters.
 
     Lines are compared without surrounding ASCII white space; blank ones never
     count. A null site is one site of its own. Null texts stay null. Rows with
@@ -115,7 +116,7 @@ def line_spread_report(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 10,
-    max_loss: float = 0.5,
+    max_loss: float | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``(id, n_lines, n_spread, n_removed, n_chars_left, text_sha256)``.
 

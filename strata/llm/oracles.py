@@ -36,7 +36,7 @@ a AS (
   SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (hit) AS n_spread,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS rest
   FROM m GROUP BY doc_id),
-f AS (SELECT a.*, d.text, n_spread > 0 AND length(rest) >= 0.5 * length(d.text) AS cut FROM a JOIN d USING (doc_id))
+f AS (SELECT a.*, d.text, n_spread > 0 AND trim(rest, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS cut FROM a JOIN d USING (doc_id))
 SELECT doc_id, n_lines, n_spread, CASE WHEN cut THEN n_spread ELSE 0 END AS n_removed,
   length(CASE WHEN cut THEN rest ELSE text END) AS n_chars_left, sha256(CASE WHEN cut THEN rest ELSE text END) AS text_sha256
 FROM f

@@ -7,7 +7,7 @@ from strata.llm.queries import op10_line_spread
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def plain(rows, sources, min_sites, max_loss=0.5):
+def plain(rows, sources, min_sites):
     spread = {}
     for (_, text), source in zip(rows, sources):
         for line in (text or "").split("\n"):
@@ -19,7 +19,7 @@ def plain(rows, sources, min_sites, max_loss=0.5):
         lines = text.split("\n")
         hit = [len(spread.get(x.strip(BLANK), ())) >= min_sites for x in lines]
         left = "\n".join(x for x, h in zip(lines, hit) if not h)
-        removed = any(hit) and len(left) >= (1 - max_loss) * len(text)
+        removed = any(hit) and left.strip(BLANK) != ""
         left = left if removed else text
         out.append((i, sum(bool(x.strip(BLANK)) for x in lines), sum(hit), sum(hit) if removed else 0, len(left), hashlib.sha256(left.encode()).hexdigest(), left))
     return out
@@ -73,3 +73,9 @@ def test_many_spread_lines_in_a_long_text(docs):
     got = {r.doc_id: r for r in line_spread_report(docs(rows, ["a", "b", "c"]), min_sites=3).collect()}
     assert (got[1].n_spread, got[1].n_removed, got[1].n_chars_left) == (20_000, 20_000, len("\n".join(own)))
     assert (got[2].n_spread, got[2].n_removed) == (20_000, 0)
+
+
+def test_a_given_loss_exempts_texts_that_would_lose_more(docs):
+    rows = [(k, f"a line that stands on all of the sites\nown {k}") for k in range(3)]
+    assert {r.n_removed for r in line_spread_report(docs(rows, ["a", "b", "c"]), min_sites=3, max_loss=0.5).collect()} == {0}
+    assert {r.n_removed for r in line_spread_report(docs(rows, ["a", "b", "c"]), min_sites=3).collect()} == {1}
