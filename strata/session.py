@@ -65,3 +65,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def placed(spark: SparkSession, data: bytes, label: str) -> str:
+    """A file of ``data`` in the shared folder, written through Hadoop's file system; its path ends with a fresh name."""
+    jvm, path = spark.sparkContext._jvm, scratch_path(spark, label)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    return path
