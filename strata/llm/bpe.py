@@ -10,8 +10,6 @@ import mmap
 import os
 import re
 import sys
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.arrow import over_texts
-from strata.session import cut
+from strata.session import cut, placed
 
 # How byte-level BPE cuts a text into words, and the same over ASCII alone.
 WORDS = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -150,7 +148,13 @@ class Transducer:
 
     @classmethod
     def build(cls, lexicon: dict[bytes, list[int]], path: str) -> None:
-        """Write the minimal automaton of ``lexicon`` (words added in order, suffixes shared as soon as they are complete)."""
+        """Write the file of :meth:`compile` at a local path."""
+        with open(path, "wb") as file:
+            file.write(cls.compile(lexicon))
+
+    @classmethod
+    def compile(cls, lexicon: dict[bytes, list[int]]) -> bytes:
+        """The bytes of the minimal automaton of ``lexicon`` (words added in order, suffixes shared as soon as they are complete)."""
         words = sorted(lexicon)
         register: dict[tuple, int] = {}
         done: list[tuple] = []  # (final, ((label, state), ...)) of each shared state
@@ -199,12 +203,8 @@ class Transducer:
             final_flags.append(final)
         ids = [i for w in words for i in lexicon[w]]
         starts = np.cumsum([0, *(len(lexicon[w]) for w in words)])
-        with open(path, "wb") as file:
-            file.write(cls.MAGIC)
-            for part in ([len(done), len(target), len(words), len(ids)], first, target, skip, starts, ids):
-                file.write(np.asarray(part, dtype="<u4").tobytes())
-            file.write(bytes(final_flags))
-            file.write(bytes(label_bytes))
+        numbers = ([len(done), len(target), len(words), len(ids)], first, target, skip, starts, ids)
+        return b"".join([cls.MAGIC, *[np.asarray(n, dtype="<u4").tobytes() for n in numbers], bytes(final_flags), bytes(label_bytes)])
 
 
 def word_counts(docs: DataFrame, text_col: str, flush: int = 500_000) -> DataFrame:
@@ -246,34 +246,23 @@ def frequent_words(counts: DataFrame, most: int = 262_144, longest: int = 64) ->
 
 
 class _Memo(dict):
-    """Decimal ids by word; a missing word is encoded, and decoded to see what comes back.
-
-    ``changed`` has the decoded bytes of words that don't come back as they were.
-    """
+    """Decimal ids by word, and in ``decoded`` the bytes that these ids stand for; a missing word is encoded."""
 
     def __init__(self, encode, octets: dict[int, bytes]):
         super().__init__()
-        self.changed: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
         self._encode, self._octets = encode, octets
         self._digits = {i: str(i) for i in octets}
 
     def __missing__(self, word: str) -> str:
-        raw = word.encode()
-        ids = self._encode(raw)
-        if (back := b"".join([self._octets[i] for i in ids])) != raw:
-            self.changed[word] = back
+        ids = self._encode(word.encode())
+        self.decoded[word] = b"".join([self._octets[i] for i in ids])
         self[word] = made = ",".join([self._digits[i] for i in ids])
         return made
 
-    def decode(self, words: list[str], text: str) -> bytes:
-        """What the ids of ``words``, which make up ``text``, decode to."""
-        if not self.changed:
-            return text.encode()
-        return b"".join([self.changed.get(w) or w.encode() for w in words])
-
     def forget(self) -> None:
         self.clear()
-        self.changed.clear()
+        self.decoded.clear()
 
 
 class Encoder:
@@ -307,7 +296,7 @@ class Encoder:
                 if len(self.memo) > self.limit:
                     self.memo.forget()
                 decimal.append(",".join(map(self.memo.__getitem__, words)))
-                decoded.append(self.memo.decode(words, part))
+                decoded.extend(map(self.memo.decoded.__getitem__, words))
         return ",".join(decimal), b"".join(decoded)
 
 
@@ -326,7 +315,7 @@ def encode_documents(
 
     Two passes over the texts: word counts over all of them choose at most
     ``lexicon_words`` frequent words; the driver compiles these into a transducer
-    file, which Spark hands to each executor; then every text is encoded. With
+    file in the shared folder, which Spark hands to each executor; then every text is encoded. With
     ``ids`` the ids follow as ``token_ids array<int>``.
 
     A null text counts as empty: 0 tokens and the digests of nothing. Null ids and
@@ -336,18 +325,22 @@ def encode_documents(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     vocabulary = Vocabulary(vocabulary_path)
     frequent = frequent_words(word_counts(source, "text"), lexicon_words)
-    name = f"transducer-{uuid.uuid4().hex}.bin"
-    place = os.path.join(tempfile.mkdtemp(), name)
-    Transducer.build({w.encode(): vocabulary.merge(w.encode()) for w in frequent}, place)
+    place = placed(docs.sparkSession, Transducer.compile({w.encode(): vocabulary.merge(w.encode()) for w in frequent}), "transducer")
+    name = os.path.basename(place)
     context.addFile(place)
     shared = context.broadcast(vocabulary)
 
     def start():
-        gc.disable()  # nothing here makes cycles, and the memo is long to walk
         encoder = _worker_encoder(name, lambda: Encoder(shared.value, Transducer(SparkFiles.get(name))))
 
         def work(texts: list[str]) -> list[list]:
-            rows = [encoder.encode(t) for t in texts]
+            collecting = gc.isenabled()
+            gc.disable()  # nothing here makes cycles, and the memo is long to walk
+            try:
+                rows = [encoder.encode(t) for t in texts]
+            finally:
+                if collecting:
+                    gc.enable()
             made = [
                 [d.count(",") + 1 if d else 0 for d, _ in rows],
                 [hashlib.sha256(d.encode()).hexdigest() for d, _ in rows],

@@ -52,6 +52,12 @@ def test_encoding_equals_the_library(spark, docs):
     assert row.token_ids == library.encode("some words").ids
 
 
+def test_what_is_decoded_are_the_ids():
+    vocabulary = bpe.Vocabulary(PATH)
+    vocabulary.octets[vocabulary.ids[b" word"]] = b"?"
+    assert bpe.Encoder(vocabulary, None).encode("a word")[1] == b"a?"
+
+
 def test_empty_and_clashing_columns(spark, docs):
     assert bpe.encode_documents(docs([]), PATH).collect() == []
     odd = spark.createDataFrame([(1, "a", 2, 3)], "doc_id int, text string, n_tokens int, id int")

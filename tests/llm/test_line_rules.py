@@ -66,3 +66,11 @@ def test_labels_agree_with_the_verdict(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in op8_line_rules(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
     assert sum(r.kept == (labels[r.doc_id] == 1) for r in rows) >= 0.98 * len(rows)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    from strata.llm import bpe, pu_quality, simhash  # noqa: F401
+
+    broken = spark.sql("SELECT 1 AS doc_id, cast(unhex('6162FF2063') AS string) AS text, 's' AS source")
+    assert line_rules.line_first_rules(broken).first().n_words == 2
+    assert simhash.simhash_groups(broken).first().id == 1
