@@ -18,6 +18,8 @@ from strata.session import cut, small, stored
 _STEP = 0x9E3779B97F4A7C15  # odd, so that every word of a fingerprint mixes the shingles anew
 _WEAK = 4  # bits of a segment that its ball flips
 _SKETCH_BITS = 1024
+_SIZE = 24  # bits that a set's size takes beside its vertex, in slots alone
+_CROWD = 8  # vertices that make a slot crowded, for the first pass
 _MEMBERS = 64  # larger components of the first pass don't meet themselves in the second
 
 
@@ -148,18 +150,31 @@ def with_set_keys(docs: DataFrame, keep: list[str], text_col: str, width: int) -
     return _mapped(source, width, "fp bigint", lambda sets: {"fp": pa.array([set_key(s) for s in sets], pa.int64())})
 
 
-def _filed(vertices: DataFrame, words: int, *columns: str) -> DataFrame:
-    """``(v, *columns, slot, word)``: a row for each slot, with a word of the fingerprint that other segments make up."""
-    each = vertices.select("v", *columns, "bits", F.posexplode("slots").alias("at", "slot"))
-    beside = F.expr(f"(at div {2 * (1 + _WEAK)} + 1) % {words}").cast("int")
-    return each.select("v", *columns, "slot", F.get("bits", beside).alias("word"))
+def _filed(vertices: DataFrame, words: int) -> DataFrame:
+    """``(v, slot, one, two)``: a row for each slot of the balls around a vertex's segments, with two words that other segments make up.
 
+    Each vertex files itself under its segment's value and those one weak bit away,
+    and probes with the same, so that pairs two bits apart meet in the middle.
+    ``v`` is the vertex with the size of its set in the lower ``_SIZE`` bits.
+    """
+    most = (1 << _SIZE) - 1
+    v = F.shiftleft("v", _SIZE).bitwiseOR(F.least("n", F.lit(most).cast("bigint"))).alias("v")
+    each = vertices.select(v, "bits", F.posexplode("slots").alias("at", "slot"))
+    beside = lambda k: F.get("bits", F.expr(f"(at div {2 * (1 + _WEAK)} + {k}) % {words}").cast("int"))
+    return each.select("v", "slot", beside(1).alias("one"), beside(2).alias("two"))
+
+
+def _vertex(name: str) -> Column:
+    return F.shiftright(F.col(name), _SIZE)
 
-def _close(one: str, two: str, percent: int) -> Column:
-    """Whether one word leaves the similarity possible: as the complete distance does, and cheap where vertices meet."""
+
+def _close(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and two words leave the similarity possible: as the complete distance does, where vertices meet."""
+    size = lambda side: F.col(f"{side}.v").bitwiseAND(F.lit((1 << _SIZE) - 1).cast("bigint"))
+    differ = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
     chance = differing(percent)
-    most = math.ceil(64 * chance + 3.5 * math.sqrt(64 * chance * (1 - chance)))
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= most
+    most = math.ceil(128 * chance + 3.5 * math.sqrt(128 * chance * (1 - chance)))
+    return (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))) & (differ("one") + differ("two") <= most)
 
 
 def _bits_apart(one: str, two: str, words: int) -> Column:
@@ -167,17 +182,20 @@ def _bits_apart(one: str, two: str, words: int) -> Column:
     return sum(differ[1:], differ[0])
 
 
-def _possible(pairs: DataFrame, vertices: DataFrame, roots: DataFrame | None, words: int, distance: int, percent: int) -> DataFrame:
-    """Pairs whose complete distance, sizes and sketches leave the similarity possible, and that no link has joined yet."""
-    marks = _with_root(vertices.select("v", "n", "bits", "sketch"), roots)
-    x, y = marks.alias("x"), marks.alias("y")
+def _alike(words: int, distance: int, percent: int) -> Column:
+    """Whether complete distance, sizes and sketches of ``x`` and ``y`` leave the similarity possible."""
     both = F.col("x.n") + F.col("y.n")
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     near = _bits_apart("x.bits", "y.bits", words) <= distance
     overlap = (100 + percent) * (both - _bits_apart("x.sketch", "y.sketch", _SKETCH_BITS // 64)) >= 2 * percent * both
-    met = pairs.join(x, F.col("a") == F.col("x.v")).join(
-        y, (F.col("b") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & sized & near & overlap
-    )
+    return sized & near & overlap
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, roots: DataFrame | None, alike: Column) -> DataFrame:
+    """Pairs that may be similar and that no link has joined yet."""
+    rooted = _with_root(marks, roots)
+    x, y = rooted.alias("x"), rooted.alias("y")
+    met = pairs.join(x, F.col("a") == F.col("x.v")).join(y, (F.col("b") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & alike)
     return cut(met.select("a", "b"))
 
 
@@ -218,46 +236,45 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _star_pairs(vertices: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every vertex with one of those that have a segment in common: as many pairs as segments, however large a group is.
+def _star_pairs(slots: DataFrame, percent: int) -> DataFrame:
+    """In crowded slots, every vertex with the most central one: as many pairs as slots, however large a group is.
 
-    The one is the first in an order that differs from segment to segment, so that
-    a large group gets several centres.
+    What others were made from has most company in its slots, which is the score
+    that makes a vertex the centre.
     """
-    own = F.filter("slots", lambda _, at: at % (1 + _WEAK) == 0)
-    word = lambda at: F.get("bits", (F.floor(at / 2).cast("int") + 1) % words)
-    slots = vertices.select("v", "bits", F.posexplode(own).alias("at", "slot")).select("v", "slot", word(F.col("at")).alias("word"))
-    order = F.struct(F.xxhash64("v", F.shiftright("slot", 40)), "v", "word")
-    first = slots.groupBy("slot").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("slot", F.col("first.v").alias("a"), F.col("first.word").alias("other"))
-    met = slots.join(first, "slot").where((F.col("a") != F.col("v")) & _close("word", "other", percent))
-    return _ordered(met.select("a", F.col("v").alias("b")))
+    crowded = cut(slots.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= _CROWD))
+    busy = stored(slots.join(small(crowded), "slot"), "crowded-slots")
+    score = busy.groupBy("v").agg(F.sum("n").alias("score"))
+    first = busy.join(score, "v").groupBy("slot").agg(F.max(F.struct("score", "v", "one", "two")).alias("first"))
+    x, y = busy.alias("x"), first.select("slot", "first.v", "first.one", "first.two").alias("y")
+    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.v") != F.col("y.v")) & _close("x", "y", percent))
+    return _ordered(met.select(_vertex("y.v").alias("a"), _vertex("x.v").alias("b")))
 
 
-def _ball_pairs(vertices: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs that meet in the balls around a segment, but for those inside one large component.
+def _ball_pairs(slots: DataFrame, roots: DataFrame, marks: DataFrame, alike: Column, percent: int) -> DataFrame:
+    """All pairs that meet in a slot, but for those inside one large component.
 
-    Each vertex files itself under its segment's value and those one weak bit away,
-    and probes with the same, so that pairs two bits apart meet in the middle.
     Members of large components, which the first pass has joined already, meet
     small ones, and one another only in slots that two such components share.
+    There whole fingerprints and sketches are compared at once, as a member that is
+    none quite may meet all of the group.
     """
     sizes = roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > _MEMBERS)
-    large = cut(roots.join(sizes.select("root"), "root", "left_semi").select("v", "root"))
-    slots = stored(_filed(vertices.join(small(large.select("v")), "v", "left_anti"), words), "slots")
-    near = _close("x.word", "y.word", percent)
-    x, y = slots.alias("x"), slots.alias("y")
-    pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.v") < F.col("y.v")) & near)
-    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    large = stored(roots.join(sizes.select("root"), "root", "left_semi").select(F.col("v").alias("member"), "root"), "large")
+    same = F.col("x.slot") == F.col("y.slot")
+    rest = slots.join(small(large.select("member")), _vertex("v") == F.col("member"), "left_anti")
+    x, y = rest.alias("x"), rest.alias("y")
+    pairs = x.join(y, same & (F.col("x.v") < F.col("y.v")) & _close("x", "y", percent)).select(_vertex("x.v").alias("a"), _vertex("y.v").alias("b"))
     if not large.isEmpty():
-        wide = stored(_filed(vertices.join(small(large), "v"), words, "root"), "slots")
-        y = wide.alias("y")
-        met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & near).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+        own = slots.join(small(large), _vertex("v") == F.col("member")).select(F.col("member").alias("v"), "root", "slot")
+        wide = stored(own.join(marks, "v"), "large-slots")
+        met = rest.join(small(cut(wide.select("slot").distinct())), "slot", "left_semi").select(_vertex("v").alias("v"), "slot")
+        beside = stored(met.join(marks, "v"), "slots-beside")
+        two = [F.col("x.v").alias("a"), F.col("y.v").alias("b")]
+        pairs = pairs.unionAll(beside.alias("x").join(wide.alias("y"), same & alike).select(*two))
         shared = wide.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("slot")
-        crowd = cut(wide.join(shared, "slot"))
-        x, y = crowd.alias("x"), crowd.alias("y")
-        among = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.root") < F.col("y.root")) & near)
-        pairs = pairs.unionAll(met).unionAll(among.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
+        crowd = stored(wide.join(shared, "slot"), "crowd")
+        pairs = pairs.unionAll(crowd.alias("x").join(crowd.alias("y"), same & (F.col("x.root") < F.col("y.root")) & alike).select(*two))
     return _ordered(pairs)
 
 
@@ -285,8 +302,8 @@ def near_copy_groups(
     segment, over the bits likeliest to differ, then the complete distance. What
     is left is compared on the whole sets, so that no dissimilar pair is ever
     linked. A pair just at the similarity is found with probability ``recall``,
-    closer ones nearly always. Two passes: equal segments first, where each vertex
-    meets one other only; then balls.
+    closer ones nearly always. Two passes: in the first the vertices of a crowded
+    slot meet its centre, in the second all those that the first has not joined.
 
     ``component_id`` is the smallest id, null if all are; ``component_fp`` numbers
     the component. Equal sets are one vertex; texts without a word are equal, and
@@ -299,7 +316,7 @@ def near_copy_groups(
     count, size, distance = layout(docs.count(), percent, recall)
     words = -(-count // 2)
 
-    def facts(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    def measured(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         bits, slots = zip(*[wide_fingerprint(s, count, size) for s in sets], strict=True) if sets else ([], [])
         return {
             "fp": pa.array([set_key(s) for s in sets], pa.int64()),
@@ -309,14 +326,15 @@ def near_copy_groups(
             "sketch": _lists([_sketch(s) for s in sets]),
         }
 
-    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>, slots array<bigint>, sketch array<bigint>", facts))
+    marks = cut(_mapped(own, width, "fp bigint, n bigint, bits array<bigint>, slots array<bigint>, sketch array<bigint>", measured))
     first = [F.first(c).alias(c) for c in ("n", "bits", "slots", "sketch")]
     whole = _numbered(marks.groupBy("fp").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), *first))
-    texts, some = own.select("h", "text"), whole.where("n > 0")
-    met = _possible(_star_pairs(some, words, percent), whole, None, words, distance, percent)
+    texts, slots = own.select("h", "text"), stored(_filed(whole.where("n > 0"), words), "slots")
+    facts, alike = whole.select("v", "n", "bits", "sketch"), _alike(words, distance, percent)
+    met = _possible(_star_pairs(slots, percent), facts, None, alike)
     links = _similar(met, whole, texts, width, percent)
     roots = _roots(links)
-    met = _possible(_ball_pairs(some, roots, words, percent), whole, roots, words, distance, percent)
+    met = _possible(_ball_pairs(slots, roots, facts, alike, percent), facts, roots, alike)
     roots = _roots(links.unionByName(_similar(met, whole, texts, width, percent)))
     classes = with_least_id(cut(_with_root(whole.select("v", "fp", "least_id"), roots).select("fp", "least_id", "root")))
     return marks.select("id", "fp").join(classes, "fp").select("id", "fp", "component_id", "component_fp")
