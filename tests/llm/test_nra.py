@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from strata.llm.nra import exact_top_k, no_random_access
+from strata.llm.nra import SortedLists, exact_top_k, no_random_access
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -31,16 +31,39 @@ def test_matches_brute_force(spark):
         assert got == want
 
 
-def test_bounds_stop_early_without_losing_a_row():
+def test_reading_stops_early_without_losing_a_row():
     rng = np.random.default_rng(1)
-    values = np.floor(rng.normal(0, 32, (2_000, 16)))
-    asked = values[:20]
-    found = no_random_access(values, np.arange(2_000), asked, np.arange(20), 5)
-    for q, (at, scores) in enumerate(found):
-        exact = values @ asked[q]
-        exact[q] = -np.inf
-        want = np.lexsort((np.arange(2_000), -exact))[:5]
-        assert (at == want).all() and (scores == exact[want]).all()
+    values = np.floor(rng.normal(0, 32, (4_000, 6))).astype(np.int64)
+    values[:50] *= 4  # long vectors stand out
+    lists, depths = SortedLists(values), []
+    for q in range(40):
+        at, scores, depth = no_random_access(lists, values, values[q], np.array([q]), 5)
+        exact = values @ values[q]
+        exact[q] = -(1 << 60)
+        want = np.lexsort((np.arange(4_000), -exact))[:5]
+        assert (at[:5] == want).all() and (scores[:5] == exact[want]).all()
+        depths.append(depth)
+    assert max(depths) < 4_000 and min(depths) <= 1_000
+
+
+def test_depths_read_are_reported(spark):
+    rows = [(k, [float(k == j) + k / 1000 for j in range(3)], 0) for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = exact_top_k(df, df.where("vec_id < 3"), 5, depth=True).collect()
+    assert all(0 < r.n_read <= 200 for r in got) and len({(r.query_id, r.n_read) for r in got}) == 3
+
+
+def test_large_components(spark):
+    import pytest
+
+    big = [(0, [2.0**20, 1.0], 0), (1, [2.0**21, 3.0], 0), (2, [2.0**21, 4.0], 0)]
+    df = spark.createDataFrame(big, "vec_id bigint, embedding array<double>, label int")
+    want = [(0, 1, 2, (1 << 57) + 256 * 1024), (0, 2, 1, (1 << 57) + 256 * 768)]
+    assert [tuple(r) for r in exact_top_k(df, df.where("vec_id = 0")).collect()] == want
+    for huge in (1e12, 1e17):
+        bad = spark.createDataFrame([(0, [huge], 0), (1, [huge], 0)], "vec_id bigint, embedding array<double>, label int")
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            exact_top_k(bad, bad.where("vec_id = 0")).collect()
 
 
 def test_few_candidates_and_empty(spark):
