@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import cut
+from strata.session import cut, small
 
 HASH_BITS = 60
 
@@ -26,22 +26,29 @@ def _prefix(h: Column, bits: Column | int) -> Column:
 def directory(rows: DataFrame, limit: int, known: int, bits: int) -> DataFrame:
     """For each ``bits``-bit prefix in use, the depth of its shard.
 
-    ``rows`` has ``(group, h, n_bytes)``: one directory for each ``group``. All
-    depths from ``known`` to ``bits`` are summed at once from the histogram over
-    prefixes, and an entry's shard is its shallowest prefix that fits ``limit`` or
-    holds one row. ``depth`` is null where even ``bits`` bits are not enough.
-    Returns ``(group, entry, depth, shard_bytes, shard_rows)``.
+    ``rows`` has ``(group, h, n_bytes)``: one directory for each ``group``. From
+    ``known`` bits on, buckets that exceed ``limit`` and hold more than one row are
+    split on another bit, and only what they hold goes on; the work is on the
+    histogram over prefixes. ``depth`` is null where even ``bits`` bits are not
+    enough. Returns ``(group, entry, depth, shard_bytes, shard_rows)``.
     """
-    entries = rows.groupBy("group", _prefix(F.col("h"), bits).alias("entry")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
-    levels = entries.withColumn("d", F.explode(F.sequence(F.lit(known), F.lit(bits)))).withColumn(
-        "p", F.expr(f"shiftright(entry, {bits} - d)")
-    )
-    sums = levels.groupBy("group", "d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-    least = levels.join(fits, ["group", "d", "p"], "left").groupBy("group", "entry").agg(
-        F.min(F.when(F.col("shard_rows").isNotNull(), F.struct("d", "shard_bytes", "shard_rows"))).alias("s")
-    )
-    return least.select("group", "entry", F.col("s.d").alias("depth"), F.col("s.shard_bytes"), F.col("s.shard_rows"))
+    prefix = _prefix(F.col("h"), bits).alias("entry")
+    left = cut(rows.groupBy("group", prefix).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")))
+    out = ["group", "entry", "depth", "shard_bytes", "shard_rows"]
+    found = None
+    for depth in range(known, bits + 1):
+        at = left.withColumn("p", F.expr(f"shiftright(entry, {bits - depth})"))
+        sums = cut(at.groupBy("group", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")))
+        fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
+        over = small(cut(sums.where(~fits).select("group", "p")))
+        whole = at.join(over, ["group", "p"], "left_anti").join(sums.where(fits), ["group", "p"])
+        done = whole.withColumn("depth", F.lit(depth)).select(*out)
+        found = done if found is None else found.unionByName(done)
+        left = cut(at.join(over, ["group", "p"], "left_semi").select("group", "entry", "b", "n"))
+        if left.isEmpty():
+            break
+    rest = left.select("group", "entry", F.lit(None).cast("int").alias("depth"), *[F.lit(None).cast("bigint").alias(c) for c in out[3:]])
+    return found.unionByName(rest)
 
 
 def _split(rows: DataFrame, limit: int, known: int = 0) -> tuple[DataFrame, DataFrame | None]:

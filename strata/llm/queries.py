@@ -22,6 +22,9 @@ URL_RULES = (
     ("block", "net/fr/"),
 )
 
+#: Bytes of a shard that op3 fills.
+SHARD_BYTES = 1 << 18
+
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.pu_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,7 +35,7 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extendible.extendible_shards(table(spark, sf_dir, "documents"))
+    return extendible.extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
