@@ -81,12 +81,13 @@ def pack_by_length(
 ) -> DataFrame:
     """Assign every row a bucket and a batch that fits ``batch_tokens`` when padded.
 
-    Returns ``(id, n_tokens, bucket, bucket_len, batch, slot, padding)``. Lengths
-    are word counts unless ``length`` gives others. The histogram of lengths up to
-    ``batch_tokens`` (so at most that many bins) goes to the driver, which chooses
-    the bounds. Inside a bucket of bound ``L``, each ``batch_tokens // L`` rows
-    make a batch, the last one possibly fewer. A longer row fits no batch: it is a
-    batch of its own without padding, in the bucket after the last.
+    Returns ``(id, slice, n_tokens, bucket, bucket_len, batch, slot, padding)``.
+    Lengths are word counts unless ``length`` gives others. A row longer than
+    ``batch_tokens`` is cut into slices of that length and a last one, each a row of
+    the result; ``slice`` numbers them from 0, and ``n_tokens`` is the slice's. The
+    histogram of lengths (at most ``batch_tokens`` bins) goes to the driver, which
+    chooses the bounds. Inside a bucket of bound ``L``, each ``batch_tokens // L``
+    slices make a batch, the last one possibly fewer.
 
     Rows are numbered without gathering a bucket in one task: each bucket is dealt
     into ``chunks`` by a hash of the row, rows are numbered inside a chunk, and the
@@ -96,25 +97,28 @@ def pack_by_length(
     slot. Other columns are ignored. An empty table gives an empty result.
     """
     tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("bigint"), F.lit(0))
-    rows = cut(docs.select(F.col(id_col).alias("id"), tokens.alias("n_tokens")).withColumn("row", F.monotonically_increasing_id()))
-    counted = rows.where(F.col("n_tokens") <= batch_tokens).groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
+    whole = docs.select(F.col(id_col).alias("id"), tokens.alias("whole")).withColumn("row", F.monotonically_increasing_id())
+    last = F.greatest(F.ceil(F.col("whole") / batch_tokens) - 1, F.lit(0)).cast("int")
+    slices = whole.withColumn("slice", F.explode(F.sequence(F.lit(0), last)))
+    own = F.least(F.lit(batch_tokens).cast("bigint"), F.col("whole") - F.col("slice").cast("bigint") * batch_tokens)
+    rows = cut(slices.select("id", "row", "slice", own.alias("n_tokens")))
+    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
     bounds = optimal_bounds({r["n_tokens"]: r["n"] for r in counted}, buckets)
     limits = F.array(*[F.lit(b).cast("bigint") for b in bounds]).cast(T.ArrayType(T.LongType()))
     placed = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))).withColumn(
         "bucket_len", F.coalesce(F.try_element_at(limits, F.col("bucket") + 1), F.col("n_tokens"))
     )
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("row", "id"), F.lit(chunks)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("row", "slice"), F.lit(chunks)))
     sizes = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("bucket", "chunk", F.coalesce(before, F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("row")) - 1
+    inside = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("row", "slice")) - 1
     number = F.col("offset") + F.col("inside")
-    capacity = F.when(F.col("bucket") == len(bounds), 1).otherwise(
-        F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_len"), F.lit(1)))
-    ).cast("bigint")
+    capacity = F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_len"), F.lit(1))).cast("bigint")
     numbered = placed.withColumn("inside", inside).join(F.broadcast(offsets), ["bucket", "chunk"])
     return numbered.select(
         F.col("id").alias(id_col),
+        "slice",
         "n_tokens",
         "bucket",
         "bucket_len",

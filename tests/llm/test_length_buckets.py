@@ -25,8 +25,8 @@ def test_bounds_are_optimal():
 
 
 def verify(rows, lengths, batch_tokens):
-    assert len(rows) == len(lengths)
-    assert sorted(r.n_tokens for r in rows) == sorted(lengths)
+    slices = [(i, min(batch_tokens, n - i * batch_tokens)) for n in lengths for i in range(max(1, -(-n // batch_tokens)))]
+    assert sorted((r.slice, r.n_tokens) for r in rows) == sorted(slices)
     batches = {}
     for r in rows:
         assert r.padding == r.bucket_len - r.n_tokens >= 0
@@ -35,9 +35,8 @@ def verify(rows, lengths, batch_tokens):
     for (bucket, _), own in batches.items():
         assert sorted(r.slot for r in own) == list(range(len(own)))
         bound = own[0].bucket_len
-        if len(own) > 1 or bound <= batch_tokens:
-            assert len(own) * bound <= batch_tokens
-        capacity = max(1, batch_tokens // max(bound, 1)) if bound <= batch_tokens else 1
+        assert len(own) * bound <= batch_tokens
+        capacity = batch_tokens // max(bound, 1)
         short[bucket] = short.get(bucket, 0) + (len(own) < capacity)
     assert all(n <= 1 for n in short.values())
 
@@ -55,7 +54,7 @@ def test_batches_fit_and_are_full(spark, docs):
 def test_empty_and_clashing_columns(spark, docs):
     assert pack_by_length(docs([])).collect() == []
     odd = spark.createDataFrame([(1, "a b", 9, 9, 9)], "doc_id int, text string, bucket int, row int, n_tokens int")
-    assert [tuple(r) for r in pack_by_length(odd).collect()] == [(1, 2, 0, 2, 0, 0, 0)]
+    assert [tuple(r) for r in pack_by_length(odd).collect()] == [(1, 0, 2, 0, 2, 0, 0, 0)]
 
 
 def test_query_over_the_whole_table(spark):
