@@ -46,20 +46,92 @@ def _end(t: Token) -> int:
 
 
 def rust_complexity(tokens: list[Token]) -> int:
-    """One, and one for each branch: if, loops, ``?``, ``&&``, ``||`` and match arms but a bare ``_``."""
-    total = 1
+    """One, and one for each branch: if, loops, ``?``, ``&&``, ``||`` and match arms but a bare ``_``.
+
+    The ``if`` of a match guard belongs to its arm. Of a macro's arguments, which
+    have no syntax of their own, only ``&&`` and ``||`` count.
+    """
+    total, macros = 1, _macro_arguments(tokens)
     for i, t in enumerate(tokens):
         before = tokens[i - 1].text if i else ""
-        if t.kind == "word" and t.text in ("if", "while", "loop") or t.text == "for" and before not in (">", "<") and not _is_impl_for(tokens, i):
-            total += 1
-        elif t.kind == "mark" and t.text in ("?", "&&", "||"):
+        if t.kind == "mark" and t.text in ("&&", "||"):
             total += not (t.text == "||" and before in ("(", ",", "=", "move", "{", "=>", "return"))  # a closure without arguments
+        elif i in macros:
+            continue
+        elif t.kind == "word" and t.text in ("while", "loop") or t.text == "for" and before not in (">", "<") and not _is_impl_for(tokens, i):
+            total += 1
+        elif t.kind == "word" and t.text == "if":
+            total += not _is_guard(tokens, i)
+        elif t.kind == "mark" and t.text == "?":
+            total += 1
         elif t.text == "=>":
             bare = before == "_" and tokens[i - 2].text in ("{", ",", "}") if i > 1 else False
             total += not bare
     return total
 
 
+def _macro_arguments(tokens: list[Token]) -> set[int]:
+    """Places inside the brackets of macro calls."""
+    out: set[int] = set()
+    for i in range(len(tokens) - 2):
+        called = tokens[i].kind == "word" and tokens[i].text not in RUST_WORDS and tokens[i + 1].text == "!"
+        if called and i not in out and tokens[i + 2].text in ("(", "[", "{"):
+            out.update(range(i + 3, _close_of(tokens, i + 2)))
+    return out
+
+
+def _close_of(tokens: list[Token], i: int) -> int:
+    """The place of the bracket that closes the one at ``i``, or the end."""
+    depth = 0
+    for k in range(i, len(tokens)):
+        depth += (tokens[k].text in ("(", "[", "{")) - (tokens[k].text in (")", "]", "}"))
+        if not depth:
+            return k
+    return len(tokens)
+
+
+def _is_guard(tokens: list[Token], i: int) -> bool:
+    """Whether the ``if`` at ``i`` comes to an arrow before it comes to a block."""
+    k = i + 1
+    while k < len(tokens):
+        if tokens[k].text in ("{", ";", "}"):
+            return False
+        if tokens[k].text == "=>":
+            return True
+        k = _close_of(tokens, k) + 1 if tokens[k].text in ("(", "[") else k + 1
+    return False
+
+
+def _builds(tokens: list[Token]) -> bool:
+    """Whether a struct or tuple expression stands among ``tokens``; calls, patterns, and macro arguments are none."""
+    macros = _macro_arguments(tokens)
+    for i, t in enumerate(tokens):
+        if i in macros or t.text not in ("(", "{"):
+            continue
+        end = _close_of(tokens, i)
+        after = end + 1
+        while after < len(tokens) and tokens[after].text in (")", "]"):
+            after += 1
+        if after < len(tokens) and tokens[after].text in ("=>", "=", "in", "|", "if"):
+            continue  # a pattern
+        before = tokens[i - 1] if i else None
+        if t.text == "{":
+            k = i - 1
+            while k > 1 and tokens[k - 1].text == "::":
+                k -= 2
+            lead = tokens[k - 1].text if k > 0 else ""
+            if before and before.kind == "word" and before.text[:1].isupper() and lead not in ("if", "while", "match", "in", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "!"):
+                return True
+        elif before is None or before.text in ("=", "(", ",", "{", "}", ";", "=>", "[", "return", "break", "&", "=="):
+            k, comma = i + 1, False
+            while k < end:
+                comma |= tokens[k].text == ","
+                k = _close_of(tokens, k) + 1 if tokens[k].text in ("(", "[", "{") else k + 1
+            if comma:
+                return True
+    return False
+
+
 def _is_impl_for(tokens: list[Token], i: int) -> bool:
     return i + 1 < len(tokens) and tokens[i + 1].text == "<"
 
@@ -71,8 +143,7 @@ def _rust_role(path: str, scopes: list[str], name: str, cc: int, body: list[Toke
     reads = "." in texts or "[" in texts
     if cc <= 1 and reads and not _FLOW & set(texts) and "let" not in texts:
         return "accessor"
-    builds = any(a[:1].isupper() and b in ("{", "(") for a, b in zip(texts, texts[1:], strict=False))
-    if cc <= 3 and (name == "new" or name.startswith(("new_", "from_", "with_")) or builds):
+    if cc <= 3 and (name == "new" or name.startswith(("new_", "from_", "with_")) or _builds(body)):
         return "constructor"
     return "general"
 

@@ -44,11 +44,18 @@ def complexity(node: ast.AST) -> int:
         elif isinstance(n, ast.BoolOp):
             total += len(n.values) - 1
         elif isinstance(n, ast.match_case):
-            bare = isinstance(n.pattern, ast.MatchAs) and n.pattern.pattern is None and n.pattern.name is None
-            total += not bare or n.guard is not None
+            total += (not _wildcard(n.pattern)) + (n.guard is not None)
     return total
 
 
+def _wildcard(pattern: ast.pattern) -> bool:
+    """Whether a case begins with a bare ``_``, alone or first of a sequence without brackets."""
+    if isinstance(pattern, ast.MatchSequence) and pattern.patterns:
+        first = pattern.patterns[0]
+        return (pattern.lineno, pattern.col_offset) == (first.lineno, first.col_offset) and _wildcard(first)
+    return isinstance(pattern, ast.MatchAs) and pattern.pattern is None and pattern.name is None
+
+
 def _shape(node: ast.AST, out: list[str], lines: list[int], line: int) -> None:
     line = getattr(node, "lineno", line)
     name = type(node).__name__

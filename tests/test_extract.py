@@ -126,3 +126,27 @@ def test_streams(spark, tmp_path):
     run = query.writeStream.outputMode("complete").format("memory").queryName("mass").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("mass").agg({"n": "sum"}).first()[0] == spark.read.parquet(events).count()
+
+
+def rust_one(source):
+    [function] = braces.extract_rust("src/a.rs", source).functions
+    return function
+
+
+def test_guards_and_macros_add_what_the_grammar_has():
+    assert rust_one("fn g(n: i32) -> i32 { match n { n if n > 0 => 1, _ => 2 } }").cc == 2
+    assert rust_one("fn g(n: i32) -> i32 { match n { _ if n > 0 && n < 9 => 1, _ => 2 } }").cc == 3
+    assert rust_one("fn g(n: i32) -> i32 { if n > 0 { 1 } else if n < 0 { 2 } else { 3 } }").cc == 3
+    assert rust_one('fn g(a: bool) { assert!(if a { 1 } else { 2 } == 1); vec![match a { true => 1, _ => 2 }]; }').cc == 1
+    assert rust_one("fn g(a: bool, b: bool) { assert!(a && b); }").cc == 2
+    source = "def g(x):\n    match x:\n        case [a] if a:\n            return 1\n        case _ if x:\n            return 2\n        case _:\n            return 3\n"
+    [function] = python_lang.extract("a.py", source).functions
+    assert function.cc == 4
+
+
+def test_constructors_build_structs_or_tuples():
+    assert rust_one("fn g(a: u8) -> Result<u8, E> { Ok(a) }").role == "general"
+    assert rust_one("fn g(a: u8) -> (u8, u8) { (a, a) }").role == "constructor"
+    assert rust_one("fn g(a: u8) -> P { P { a } }").role == "constructor"
+    assert rust_one("fn g(p: (u8, u8)) -> u8 { let (a, b) = p; if a == LIMIT { f(a, b) } else { 0 } }").role == "general"
+    assert rust_one("fn with_it(a: u8) -> u8 { f(a) }").role == "constructor"
