@@ -182,6 +182,7 @@ ORACLES: dict[str, str] = {
     "role_classify": f"WITH {U}, {ROLE} SELECT doc_id, role, role IN ('test', 'accessor') AS is_low_risk FROM r",
     "path_checks": "WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, NOT contains(path, '\\') AND len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS is_relative, "
     "regexp_replace(trim(path), '/+$', '') AS locator FROM p",
-    "snapshot_fingerprint": "WITH d AS (SELECT source, doc_id::VARCHAR || chr(31) || lang || chr(31) || sha256(coalesce(text, '')) AS entry FROM documents) "
-    "SELECT source, count(*) AS n_entries, sha256(string_agg(entry, chr(30) ORDER BY entry)) AS fingerprint FROM d GROUP BY source",
+    "snapshot_fingerprint": "WITH d AS (SELECT source, sha256(doc_id::VARCHAR || chr(31) || lang || chr(31) || sha256(coalesce(text, ''))) AS h FROM documents), "
+    "p AS (SELECT source, count(*) AS n, substr(h, 1, 3) || sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM d GROUP BY source, substr(h, 1, 3)) "
+    "SELECT source, sum(n)::BIGINT AS n_entries, sha256(string_agg(h, chr(30) ORDER BY h)) AS fingerprint FROM p GROUP BY source",
 }

@@ -379,15 +379,23 @@ def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 def risk_label(spark: SparkSession, sf: str) -> DataFrame:
     u = document_units(docs(spark, sf), table(spark, sf, "labels"), streams=False)
-    order = F.lead("role").over(_by_language())
-    pairs = u.select("language", "pos", "role", order.alias("other")).where("other is not null")
+    pairs = _followed(u.select("language", "pos", "role")).where("other is not null")
     return pairs.groupBy("language", "role", "other", similarity.risk(F.col("role"), F.col("other")).alias("risk")).agg(F.count("*").alias("n_pairs"))
 
 
-def _by_language():
+def _followed(units: DataFrame, rows: int = 65_536) -> DataFrame:
+    """``units`` with ``other``, the role of the next one in its language.
+
+    Stretches of positions are ordered on their own; only each one's first role,
+    a row for many, is ordered over the whole language.
+    """
     from pyspark.sql.window import Window
 
-    return Window.partitionBy("language").orderBy("pos")
+    parts = units.withColumn("part", F.floor(F.col("pos") / rows))
+    inside = F.lead("role").over(Window.partitionBy("language", "part").orderBy("pos"))
+    firsts = parts.groupBy("language", "part").agg(F.min_by("role", "pos").alias("first"))
+    after = firsts.select("language", "part", F.lead("first").over(Window.partitionBy("language").orderBy("part")).alias("after"))
+    return parts.withColumn("inside", inside).join(after, ["language", "part"]).withColumn("other", F.coalesce("inside", "after"))
 
 
 def role_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,9 +409,11 @@ def path_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select("source", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "lang", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("entry"))
-    g = d.groupBy("source").agg(F.count("*").alias("n_entries"), F.array_sort(F.collect_list("entry")).alias("entries"))
-    return g.select("source", "n_entries", F.sha2(F.array_join("entries", "\x1e"), 256).alias("fingerprint"))
+    entry = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "lang", F.sha2(F.coalesce("text", F.lit("")), 256))
+    d = docs(spark, sf).select("source", F.sha2(entry, 256).alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\x1e"), 256)
+    parts = d.groupBy("source", F.substring("h", 1, 3).alias("part")).agg(F.count("*").alias("n"), F.concat("part", joined("h")).alias("h"))
+    return parts.groupBy("source").agg(F.sum("n").alias("n_entries"), joined("h").alias("fingerprint"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
