@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Shares of the lists, in 32nds, after which bounds are compared.
-DEPTHS = (1, 2, 4, 6, 8, 12, 16, 20, 24, 28, 32)
+DEPTHS = (4, 8, 16, 20, 24, 28, 32)
+#: Of a block's rows, those that may stand when reading stops and scores are resolved.
+FINALISTS = 1 / 8
 
 
 def quantised(vector: Column) -> Column:
@@ -64,8 +66,9 @@ def no_random_access(lists: SortedLists, vectors: np.ndarray, query: np.ndarray,
     stretch at a time; what is read adds to its row's partial score. A row's score
     lies between the partial score with the lists' far ends for what is unread,
     and with the values read last. Reading stops once no row outside the ``k`` best
-    lower bounds can qualify, unseen ones included, but for ``4 k`` rows at most:
-    their scores are then resolved. All sums are whole numbers.
+    lower bounds can qualify, unseen ones included, but for few finalists (``4 k``
+    rows, or ``FINALISTS`` of the block): their scores are then resolved. All sums
+    are whole numbers.
     """
     n, positive = lists.n, query > 0
     near_end = np.where(positive, lists.values[:, -1], lists.values[:, 0])
@@ -93,7 +96,7 @@ def no_random_access(lists: SortedLists, vectors: np.ndarray, query: np.ndarray,
         if bar is not None:
             alive &= high >= bar  # an unseen row's upper bound is the threshold: the frontier's sum
             standing = np.flatnonzero(alive)
-        if len(standing) <= 4 * k or at == n:
+        if len(standing) <= max(4 * k, FINALISTS * n) or at == n:
             scores = vectors[standing] @ query
             ranked = np.lexsort((standing, -scores))
             if len(ranked) > k:  # rows that tie with the last are ordered by their ids later
