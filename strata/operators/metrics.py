@@ -66,6 +66,12 @@ def floor_quantiles(rows: DataFrame, value: str, shares: dict[str, float], keys:
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
 
 
+def largest_commits(churn: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """The ``most`` rows ``(*keys, commit, churn)`` of greatest churn for each of ``keys``, ties to the lesser commit, with their ``rank``."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("churn"), "commit"))
+    return churn.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def erosion_delta(base: DataFrame, head: DataFrame, keys: list[str], growth_limit: float = 0.08, delta_limit: float = 0.08, ratio_limit: float = 0.5) -> DataFrame:
     """Head summaries against base ones, with the breached conditions."""
     old = base.select(*keys, F.col("erosion_ratio").alias("base_ratio"), F.col("high_mass").alias("base_high_mass"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Callable, Iterator
@@ -29,6 +30,12 @@ def is_supported(path: str) -> bool:
     return path.endswith(SUPPORTED) or path.rsplit("/", 1)[-1] == "Cargo.toml"
 
 
+def is_missing_path(detail: str) -> bool:
+    """Whether git's message says that a revision lacks a path, rather than that the revision or the repository is at fault."""
+    said = ("' does not exist in '", "' exists on disk, but not in '")
+    return any(line.strip().startswith("fatal: path '") and any(x in line for x in said) for line in detail.splitlines())
+
+
 class Repository:
     def __init__(self, path: str, run: Runner = system_git):
         self._run = run
@@ -69,6 +76,27 @@ class Repository:
             yield name, data[end + 1 : end + 1 + int(size)]
             at = end + 2 + int(size)
 
+    def blob(self, revision: str, path: str) -> bytes | None:
+        """The contents of a path at a revision; None if the revision has no such path, any other failure raises."""
+        if path.startswith("/") or "\\" in path or not all(part not in ("", ".", "..") for part in path.split("/")):
+            raise ValueError(f"no relative path: {path!r}")
+        try:
+            return self.git("cat-file", "-p", f"{revision}:{path}")
+        except GitError as error:
+            if is_missing_path(str(error)):
+                return None
+            raise
+
+    def churn(self, revision: str, count: int) -> list[tuple[str, int]]:
+        """``(commit, added and deleted lines)`` of up to ``count`` first-parent commits, merges left out, newest first; binary files count 0."""
+        rows = self.git("log", "--first-parent", "--no-merges", f"--max-count={count}", "--numstat", "--format=%x00%H", revision).decode("utf-8", "replace")
+        out = []
+        for part in rows.split("\0")[1:]:
+            commit, *files = part.strip().split("\n")
+            numbers = [n for line in files if line for n in line.split("\t")[:2]]
+            out.append((commit, sum(int(n) for n in numbers if n.isdigit())))
+        return out
+
     def entries(self, spark: SparkSession, revision: str) -> DataFrame:
         commit = self.resolve(revision)
         found = self.files(commit)
@@ -84,8 +112,13 @@ class Repository:
         rows = []
         for path in sorted({p for p in paths if p and is_supported(p)}):
             try:
-                with open(f"{self.root}/{path}", "rb") as file:
-                    rows.append((commit, path, "file", 0o100644, bytearray(file.read())))
+                place = f"{self.root}/{path}"
+                if os.path.islink(place):
+                    rows.append((commit, path, "symlink", 0o120000, bytearray(os.readlink(place).encode("utf-8", "surrogateescape"))))
+                    continue
+                with open(place, "rb") as file:
+                    mode = 0o100755 if os.fstat(file.fileno()).st_mode & 0o100 else 0o100644
+                    rows.append((commit, path, "file", mode, bytearray(file.read())))
             except FileNotFoundError:
                 continue
         return spark.createDataFrame(rows, schemas.ENTRIES)
