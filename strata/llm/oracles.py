@@ -9,7 +9,7 @@ WITH b AS (
 n AS (SELECT d, h >> (60 - d)::INT AS p, sum(n_bytes)::BIGINT AS s, count(*) AS c FROM b, range(0, 61) r(d) GROUP BY ALL),
 w AS (
   SELECT b.doc_id, b.n_bytes, b.h, n.d, n.s, n.c, row_number() OVER (PARTITION BY b.doc_id ORDER BY n.d) AS k
-  FROM b JOIN n ON n.p = b.h >> (60 - n.d)::INT AND (n.s <= 262144 OR n.c = 1))
+  FROM b JOIN n ON n.p = b.h >> (60 - n.d)::INT AND (n.s <= 65536 OR n.c = 1))
 SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(h >> (60 - d)::INT), d::INT, '0') END AS prefix, d::INT AS depth,
   NULL::VARCHAR AS overflow, s AS shard_bytes, c AS shard_rows
 FROM w WHERE k = 1

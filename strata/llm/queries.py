@@ -22,8 +22,8 @@ URL_RULES = (
     ("block", "net/fr/"),
 )
 
-#: Bytes of a shard that op3 fills.
-SHARD_BYTES = 1 << 18
+#: Bytes of a shard that op3 fills: small, so that shards of several depths arise at the smallest scales too.
+SHARD_BYTES = 1 << 16
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
