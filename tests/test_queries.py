@@ -1,13 +1,16 @@
 """Every driver query of the core against its SQL, and what its plan must not hold."""
 
+import json
 import subprocess
 import sys
 
 import pytest
 
 from oracle import assert_same, connect
-from strata.plans.oracles import ORACLES
-from strata.plans.queries import QUERIES
+from strata.plans import oracles, queries, rule_oracles, rule_queries
+
+QUERIES = queries.QUERIES | rule_queries.QUERIES
+ORACLES = oracles.ORACLES | rule_oracles.ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,13 +20,38 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_its_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    if name in ORACLES:
-        assert_same(df, duck, ORACLES[name])
-    else:
-        assert len(df.collect()) >= 0
+    assert_same(QUERIES[name](spark, SF), duck, ORACLES[name])
+
+
+def test_sarif_results_hold_every_finding(spark):
+    want = sorted((r.rule_id, r.message, r.path) for r in queries._emitted(spark, SF).collect())
+    found = [json.loads(r.result) for r in QUERIES["sarif_json"](spark, SF).collect()]
+    assert want and sorted((f["ruleId"], f["message"]["text"], f["locations"][0]["physicalLocation"]["artifactLocation"]["uri"]) for f in found) == want
+    related = sum(r.base_path is not None for r in queries._emitted(spark, SF).collect())
+    assert sum("relatedLocations" in f for f in found) == related
+
+
+def test_added_lines_are_what_a_longest_common_subsequence_leaves(spark, duck):
+    """Every pair's added lines, by a plain table of subsequence lengths over the lines themselves."""
+    texts = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    pairs = duck.execute(f"SELECT doc_id, other_id FROM ({ORACLES['near_clone_best']})").fetchall()
+    added = {}
+    for r in QUERIES["lcs_added_lines"](spark, SF).collect():
+        assert r.status == "ok"
+        added.setdefault(r.doc_id, set()).add(r.line)
+    assert pairs and set(added) <= {q for q, _ in pairs}
+    for q, c in pairs:
+        head, base = texts[q].split("\n"), texts[c].split("\n")
+        kept = [x for at, x in enumerate(head, 1) if at not in added.get(q, set())]
+        row = [0] * (len(base) + 1)
+        for x in head:
+            row, before = [0], row
+            for j, y in enumerate(base):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        rest = iter(base)
+        assert len(kept) == row[-1] and all(x in rest for x in kept)
 
 
 def test_only_queries_beyond_sql_lack_it():
