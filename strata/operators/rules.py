@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.operators import blocks, changes, families, findings, metrics, similarity
+from strata.operators import blocks, changes, coverage, families, findings, metrics, similarity
 from strata.policy import Policy
 from strata.session import cut
 
@@ -276,12 +276,18 @@ def analysis_errors(coverage: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(base: Revision, head: Revision, manifest: DataFrame, lines: DataFrame, policy: Policy) -> DataFrame:
+def erosion_can_run(head: Revision, failed_diffs: DataFrame | None = None) -> bool:
+    """Whether every Rust file was analysed and has its added lines."""
+    return coverage.complete_for(head.coverage) and (failed_diffs is None or failed_diffs.where(F.col("path").rlike(coverage.RUST)).isEmpty())
+
+
+def evaluate(base: Revision, head: Revision, manifest: DataFrame, lines: DataFrame, policy: Policy, erosion: bool | None = None) -> DataFrame:
     """All rules over two revisions, governed and ordered.
 
     ``manifest`` has ``(path, status, old_path)`` of every head path and of deleted
     ones, status being added, changed, unchanged or deleted; ``lines`` the added
-    lines of head paths. Erosion is left out unless every Rust file was analysed.
+    lines of head paths. Erosion is left out unless every Rust file was analysed;
+    ``erosion`` says so where a caller knows more.
     """
     moved = manifest.where("status in ('added', 'changed')")
     changed = {k: renamed(getattr(head, k), moved) for k in ("functions", "lints", "unsafe", "dependencies")}
@@ -290,8 +296,7 @@ def evaluate(base: Revision, head: Revision, manifest: DataFrame, lines: DataFra
     out = out.unionByName(lint_growth(base.lints, changed["lints"], lines)).unionByName(unsafe_growth(base.unsafe, changed["unsafe"], lines))
     out = out.unionByName(dependency_growth(base.dependencies, changed["dependencies"]))
     out = out.unionByName(analysis_errors(head.coverage.join(moved.select("path"), "path", "left_semi")))
-    failed = head.coverage.where("status = 'failed' and path like '%.rs'")
-    if failed.isEmpty():
+    if erosion_can_run(head) if erosion is None else erosion:
         rust = lambda r: r.functions.where("language = 'rust'")
         moves = manifest.where("old_path is not null").select("path", "old_path")
         out = out.unionByName(structural_erosion(rust(base), rust(head), moves, lines, policy))

@@ -1,6 +1,6 @@
 """Schemas of stored tables. Readers use these; nothing is inferred."""
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 ENTRIES = "rev_id string, path string, kind string, mode int, bytes binary"
 ENTRY_META = "rev_id string, path string, kind string, mode int, content_hash string, line_hashes array<bigint>"
@@ -25,4 +25,4 @@ FINDINGS = (
     "base_mass double, head_mass double, delta double, threshold double, similarity double, properties map<string,string>"
 )
 SUPPRESSIONS = "rule string, path string, line int, reason string"
-META = "schema_version int, tool_version string, rev_id string, policy_fingerprint string, analyzer_fingerprint string"
+META = "schema_version int, tool_version string, rev_id string, policy_fingerprint string, analyzer_fingerprint string, snapshot_id string"
