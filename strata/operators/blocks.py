@@ -34,18 +34,16 @@ def shared_runs(pairs: DataFrame, units: DataFrame, walker: str, other: str, seq
     return _runs(walk.join(has, [other, "h"]))
 
 
-def candidate_runs(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """:func:`shared_runs` of many pairs over the token stream, by way of the shingles.
+def roomy(pairs: DataFrame, units: DataFrame, minimum: int, *sides: str) -> DataFrame:
+    """Pairs that can have a run of ``minimum`` positions on each of the sides.
 
-    Positions meet postings on the shingle, so that only shared positions arise,
-    and those of other pairs are dropped.
+    A unit has at most as many positions with shared shingles as the pair shares
+    shingles, and its repeats. Most pairs share a phrase and no more, so few are left.
     """
-    asking = units.join(pairs.select(F.col("q").alias("pos")).distinct(), "pos", "left_semi")
-    walk = asking.select("language", F.col("pos").alias("q"), F.posexplode("shingle_seq").alias("at", "h"))
-    told = units.join(pairs.select(F.col("c").alias("pos")).distinct(), "pos", "left_semi")
-    has = told.select("language", F.col("pos").alias("c"), F.explode("shingles").alias("h"))
-    hits = walk.join(has, ["language", "h"]).select("q", "c", "at")
-    return _runs(hits.join(pairs.select("q", "c"), ["q", "c"], "left_semi"))
+    for side in sides:
+        repeats = units.select(F.col("pos").alias(side), (F.size("shingle_seq") - F.size("shingles")).alias("_repeats"))
+        pairs = pairs.join(repeats, side).where(F.col("overlap") + F.col("_repeats") >= minimum).drop("_repeats")
+    return pairs
 
 
 def longest_run(runs: DataFrame, minimum: int) -> DataFrame:
@@ -76,8 +74,8 @@ def block_matches(units: DataFrame, policy: NearClone | None = None, **options)
     """
     policy = policy or NearClone()
     minimum = policy.block_run
-    pairs = cut(block_candidates(units, policy, **options))
-    left = longest_run(candidate_runs(pairs, units), minimum)
+    pairs = cut(roomy(block_candidates(units, policy, **options), units, minimum, "q", "c"))
+    left = longest_run(shared_runs(pairs, units, "q", "c", "shingle_seq", "shingles"), minimum)
     left = cut(left.select("q", "c", F.col("start").alias("left_start"), F.col("length").alias("left_length")))
     shape = longest_run(shared_runs(left, units, "q", "c", "ast_shingle_seq", "ast_shingles"), minimum)
     both = left.join(shape.select("q", "c", F.col("length").alias("ast_length")), ["q", "c"])

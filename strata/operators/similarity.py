@@ -34,6 +34,30 @@ def overlaps(units: DataFrame, set_col: str = "shingles", query: Column | None =
     return left.join(right, ["language", "h"]).where(seen).groupBy("q", "c").agg(F.count("*").alias("overlap"))
 
 
+def similar_pairs(units: DataFrame, threshold: float, set_col: str = "shingles") -> DataFrame:
+    """``(q, c, overlap, jaccard)`` of all pairs of one language, ``c < q``, at or above the threshold.
+
+    Without a budget, no other pair needs counting: sets that similar are of like
+    sizes. Of ``n`` shingles at most ``n - ceil(n * threshold)`` are not shared,
+    so among this many and ``m`` more of the least hashes of either, ``m`` are.
+    Only these prefixes meet, with ``m`` a twentieth of the set, and pairs that
+    share as many are verified over the whole sets.
+    """
+    n = F.size(set_col)
+    slack = 1e-9  # products of the threshold may lie just off a whole number
+    prefix = F.explode(F.slice(set_col, F.lit(1), n - F.ceil(n * threshold - slack).cast("int") + F.floor(n / 20).cast("int") + 1))
+    firsts = units.where(n > 0).select("language", "pos", n.alias("n"), prefix.alias("h"))
+    left = firsts.select("language", "h", F.col("pos").alias("q"), F.col("n").alias("nq"))
+    right = firsts.select("language", "h", F.col("pos").alias("c"), F.col("n").alias("nc"))
+    alike = (F.col("nc") >= F.col("nq") * threshold - slack) & (F.col("nq") >= F.col("nc") * threshold - slack)
+    met = left.join(right, ["language", "h"]).where((F.col("c") < F.col("q")) & alike)
+    met = met.groupBy("q", "c", F.least("nq", "nc").alias("n")).agg(F.count("*").alias("k")).where(F.col("k") > F.floor(F.col("n") / 20)).select("q", "c")
+    qs, cs = units.select(F.col("pos").alias("q"), F.col(set_col).alias("qs")), units.select(F.col("pos").alias("c"), F.col(set_col).alias("cs"))
+    both = met.join(qs, "q").join(cs, "c").withColumn("overlap", F.size(F.array_intersect("qs", "cs")).cast("bigint"))
+    both = both.withColumn("jaccard", T.jaccard(F.col("overlap"), F.size("qs"), F.size("cs")))
+    return both.where(F.col("jaccard") >= threshold).select("q", "c", "overlap", "jaccard")
+
+
 def _meta(units: DataFrame, prefix: str, *more: str) -> DataFrame:
     return units.select(*[F.col(c).alias(f"{prefix}_{c}") for c in [*META, *more]])
 

@@ -94,12 +94,8 @@ def hex_codec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_clone_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf, "pos", "language", "shingles")
-    n = u.select("pos", F.size("shingles").alias("n"))
-    found = similarity.overlaps(u)
-    q, c = n.select(F.col("pos").alias("q"), F.col("n").alias("nq")), n.select(F.col("pos").alias("c"), F.col("n").alias("nc"))
-    pairs = found.join(q, "q").join(c, "c").withColumn("jaccard", T.jaccard(F.col("overlap"), F.col("nq"), F.col("nc")))
-    return pairs.where("jaccard >= 0.85").select(F.col("q").alias("doc_id"), F.col("c").alias("other_id"), "overlap", r6(F.col("jaccard")).alias("jaccard"))
+    pairs = similarity.similar_pairs(units(spark, sf, "pos", "language", "shingles"), 0.85)
+    return pairs.select(F.col("q").alias("doc_id"), F.col("c").alias("other_id"), "overlap", r6(F.col("jaccard")).alias("jaccard"))
 
 
 def near_clone_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,8 +122,8 @@ def near_clone_best(spark: SparkSession, sf: str) -> DataFrame:
 
 def block_longest_run(spark: SparkSession, sf: str) -> DataFrame:
     u = units(spark, sf)
-    pairs = blocks.block_candidates(u, BLOCKS)
-    return blocks.longest_run(blocks.candidate_runs(cut(pairs), u), BLOCKS.block_run).select(
+    pairs = cut(blocks.roomy(blocks.block_candidates(u, BLOCKS), u, BLOCKS.block_run, "q"))
+    return blocks.longest_run(blocks.shared_runs(pairs, u, "q", "c", "shingle_seq", "shingles"), BLOCKS.block_run).select(
         F.col("q").alias("doc_id"), F.col("c").alias("other_id"), F.col("start").cast("int").alias("start"), "length"
     )
 

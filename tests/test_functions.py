@@ -226,3 +226,25 @@ def test_coverage_budget_and_paths(spark):
     reasons = spark.createDataFrame([("b", "failed", "x"), ("a", "failed", "budget"), ("c", "failed", "x"), ("d", "analyzed", "")], "path string, status string, detail string")
     assert [(r.kind, r.n) for r in coverage.incomplete_reasons(reasons).collect()] == [("budget-exceeded", 1), ("analysis-failed", 2)]
     assert not coverage.unsorted(spark.createDataFrame([(1, "b"), (2, "a")], "o int, k string"), "k", "o").isEmpty()
+
+
+def test_similar_pairs_are_those_of_a_plain_comparison(spark):
+    rng = random.Random(7)
+    sets, edited = [], []
+    for size in (*range(0, 24), 60, 61, 120, 300):
+        first = rng.sample(range(-10**6, 10**6), size)
+        sets.append(first)
+        for change in (0, 1, size // 20, size // 12, size // 10):
+            gone = set(rng.sample(first, min(change, size)))
+            edited.append([x for x in first if x not in gone] + rng.sample(range(2 * 10**6, 3 * 10**6), rng.choice((0, change))))
+    rows = [(i, f"l{i % 2}" if i % 11 == 0 else "l0", sorted(s)) for i, s in enumerate(sets + edited)]
+    units = spark.createDataFrame(rows, "pos bigint, language string, shingles array<bigint>")
+    for threshold in (0.5, 0.85, 1.0):
+        want = []
+        for q, lq, a in rows:
+            for c, lc, b in rows[:q]:
+                both = len(set(a) & set(b))
+                if lq == lc and both and both / (len(a) + len(b) - both) >= threshold:
+                    want.append((q, c, both))
+        got = similarity.similar_pairs(units, threshold).collect()
+        assert len(want) > 20 and sorted((r.q, r.c, r.overlap) for r in got) == want
