@@ -58,7 +58,7 @@ def test_whole_matches_are_those_of_the_loops(spark, no_count_of_all, budget):
     assert found and {r.q: (r.c, r.similarity) for r in found} == plain(rows, policy)
 
 
-@pytest.mark.parametrize("name", ["near_clone_best", "clone_families", "family_summary"])
+@pytest.mark.parametrize("name", ["near_clone_best", "clone_families", "family_summary", "lcs_added_lines"])
 def test_queries_of_whole_matches_store_no_streams(spark, no_count_of_all, name):
     assert queries.QUERIES[name](spark, SF).collect() or name == "lcs_added_lines"  # no line is added there
 
