@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,10 +138,24 @@ def near_clone_check(base: DataFrame, head: DataFrame, head_paths: DataFrame, po
     return out if found is None else out.unionByName(block_findings(found, pool, policy))
 
 
-def scan(functions: DataFrame, policy: Policy) -> DataFrame:
-    """Every function against those before it: pair findings and one row per family."""
+def _firsts(functions: DataFrame) -> DataFrame:
+    """One function per identity: the first of those that share it; only these are moved."""
+    again = cut(functions.groupBy(*IDENTITY).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in IDENTITY]))
+    if again.isEmpty():
+        return functions
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY])
     nth = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy("pos"))
-    pool = cut(functions.withColumn("_n", nth).where("_n = 1").drop("_n"))
+    few = cut(functions.join(again, same, "left_semi").withColumn("_n", nth).where("_n = 1").drop("_n"))
+    return functions.join(again, same, "left_anti").unionByName(few)
+
+
+def scan(functions: DataFrame, policy: Policy) -> DataFrame:
+    """Every function against those before it: pair findings and one row per family.
+
+    ``functions`` may be a plan that computes its streams; they are stored only where blocks need them.
+    """
+    pool = _firsts(functions)
+    pool = cut(pool) if policy.near_clone.detect_blocks else pool
     whole, found = clone_matches(pool, policy)
     edges = whole.select("q", "c") if found is None else whole.select("q", "c").unionByName(found.select("q", "c"))
     groups = cut(families.clone_families(edges, pool))

@@ -13,7 +13,7 @@ from strata.plans.queries import docs, r6
 from strata.policy import Policy
 from strata.session import table
 from strata.sources import snapshot
-from strata.sources.units import stored_units
+from strata.sources.units import document_units
 
 BASE, HEAD = 1996, 1997
 #: Limits at which the years of the driver's tables break every rule.
@@ -116,7 +116,7 @@ def rule_structural_erosion(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every document against those before it: pair findings with their family, and family rows, in report order."""
-    found = rules.scan(stored_units(docs(spark, sf), table(spark, sf, "labels")), SCAN)
+    found = rules.scan(document_units(docs(spark, sf), table(spark, sf, "labels")), SCAN)
     shown = ["clone_scope", "clone_risk", "family_id", "member_count", "recoverable_mass", "left", "right", "same_file"]
     report = findings.governed(found, SCAN)
     return report.select("path", "line", "rule_id", "severity", "message", "base_path", *_numbers("similarity"), *[_property(p) for p in shown])

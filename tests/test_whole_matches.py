@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import similarity
+from strata.operators import rules, similarity
 from strata.plans import queries
-from strata.policy import NearClone
+from strata.policy import NearClone, Policy
 from strata.session import marks
 from test_functions import UNIT, unit
 
@@ -63,6 +63,13 @@ def test_queries_of_whole_matches_store_no_streams(spark, no_count_of_all, name)
     assert queries.QUERIES[name](spark, SF).collect() or name == "lcs_added_lines"  # no line is added there
 
 
+def test_scan_reads_units_that_share_an_identity_once(spark, no_count_of_all):
+    base = list(range(20))
+    rows = [unit(1, base, name="a"), unit(4, base, name="a"), unit(7, base, name="b"), unit(9, range(50, 60), name="c")]
+    found = rules.scan(spark.createDataFrame(rows, UNIT), Policy().with_rule("near_clone", detect_blocks=False)).collect()
+    assert sorted((r.properties["clone_scope"], r.properties.get("left"), r.properties.get("right")) for r in found) == [("family", None, None), ("whole-function", "7", "1")]
+
+
 def test_marks_hold_every_hash(spark):
     rng = random.Random(1)
     values = [0, -1, 1 << 62, -(1 << 63), *[rng.getrandbits(64) - (1 << 63) for _ in range(200)]]
