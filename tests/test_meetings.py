@@ -73,3 +73,7 @@ def test_repeated_and_null_ids_null_languages_and_empty_tables(spark):
 
 def test_topk_moves_no_pairs(spark, no_pairs_moved):
     assert queries.near_clone_topk(spark, SF).count() > 1000
+
+
+def test_shingle_overlap_moves_no_pairs(spark, no_pairs_moved):
+    assert queries.shingle_overlap(spark, SF).count() > 400
