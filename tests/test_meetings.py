@@ -77,3 +77,36 @@ def test_topk_moves_no_pairs(spark, no_pairs_moved):
 
 def test_shingle_overlap_moves_no_pairs(spark, no_pairs_moved):
     assert queries.shingle_overlap(spark, SF).count() > 400
+
+
+def plain_run(stream, other):
+    best, k = (0, 0), 0
+    while k < len(stream):
+        n = 0
+        while k + n < len(stream) and stream[k + n] in other:
+            n += 1
+        best = max(best, (n, -k))
+        k += n + 1
+    return -best[1], best[0]
+
+
+@pytest.mark.parametrize("budget", [3, 64])
+def test_runs_are_those_of_the_loops(spark, budget):
+    rng = random.Random(budget)
+    rows = []
+    for r in some_units(budget):
+        rows.append((*r[:11], list(r[11]) + rng.choices(r[11], k=rng.randint(0, 8)) if r[11] else [], *r[12:]))
+    units = spark.createDataFrame(rows, UNIT)
+    sized = F.when(F.col("token_count") >= 50, 1)
+    by = {r[0]: r for r in rows}
+    expected = {}
+    for q, c in plain(rows, budget):
+        start, length = plain_run(by[q][11], set(by[c][9]))
+        if by[q][5] >= 50 and by[c][5] >= 50 and length >= 6:
+            expected[q, c] = (start, length)
+    found = meetings(units, budget, sized, sized, 6).collect()
+    assert expected and {(r.q, r.c): (r.start, r.length) for r in found} == expected
+
+
+def test_longest_run_moves_no_pairs(spark, no_pairs_moved):
+    assert queries.block_longest_run(spark, SF).count() > 20
