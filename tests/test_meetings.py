@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import similarity
+from strata.operators import blocks, similarity
 from strata.operators.meetings import meetings
 from strata.plans import queries
-from test_functions import UNIT, unit
+from strata.policy import NearClone
+from test_functions import UNIT, plain_block, unit
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,7 @@ def no_pairs_moved(monkeypatch):
         raise AssertionError("all pairs shuffled, or all streams stored")
 
     monkeypatch.setattr(similarity, "overlaps", refused)
+    monkeypatch.setattr(blocks, "overlaps", refused)
     monkeypatch.setattr(queries, "stored_units", refused)
 
 
@@ -110,3 +112,34 @@ def test_runs_are_those_of_the_loops(spark, budget):
 
 def test_longest_run_moves_no_pairs(spark, no_pairs_moved):
     assert queries.block_longest_run(spark, SF).count() > 20
+
+
+def test_block_matches_moves_no_pairs(spark, no_pairs_moved):
+    assert queries.block_matches(spark, SF).count() > 10
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_the_best_blocks_are_those_of_the_loops_where_longer_left_runs_end_early_on_the_right(spark, most):
+    """Candidates that hold a query's longest run in pieces come first by left run and last by island."""
+    rng, rows = random.Random(most), []
+    for k in range(1, 60):
+        stream = [rng.randrange(12) for _ in range(rng.randint(0, 40))]
+        if k % 3 == 0:  # all shingles twice, each followed by its own
+            stream = [h for x in stream[:20] for h in (x, 1000 * k + x)] + stream[:5]
+        shape = [h % 5 for h in stream] if k % 4 else [-k * 100 - i for i in range(len(stream))]
+        rows.append((*unit(k, stream, tokens=100)[:9], sorted(set(stream)), sorted(set(shape)), stream, shape, 10.0))
+    policy = NearClone(minimum_tokens=6, block_minimum_tokens=8, block_max_families=most, block_max_candidates=100)
+    expected, rounds = set(), 0
+    for q in rows:
+        found, lefts = [], []
+        for c in rows:
+            block = plain_block(q[11], c[11], 4) if c[0] < q[0] else None
+            shape = plain_run(q[12], set(c[10]))[1]
+            lefts += [plain_run(q[11], set(c[9]))[1]] if c[0] < q[0] else []
+            if block and shape >= 4:
+                found.append((-min(block[1], block[3]), c[2], c[4], c[3], c[0], *block, shape))
+        best = sorted(found)[:most]
+        expected |= {(q[0], *f[4:], -f[0]) for f in best}
+        rounds += any(-f[0] < sorted(lefts)[-most - 1] for f in best if len(lefts) > most)
+    got = blocks.block_matches(spark.createDataFrame(rows, UNIT), policy).collect()
+    assert expected and rounds and {(r.q, r.c, r.left_start, r.left_length, r.right_start, r.right_length, r.ast_length, r.island) for r in got} == expected
